@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html, mixing, packing, secrets, token_files, topk
+from tessera.llm import fingerprints, html, mixing, packing, secrets, token_files, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_fingerprints, op5_bit_sliced_topk, op6_html_extraction, op8_token_files, op9_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_fingerprints, op5_bit_sliced_topk, op6_html_extraction, op8_token_files, op9_secret_scan, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op5_bit_sliced_topk": """
