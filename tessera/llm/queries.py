@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html, mixing, packing, secrets, token_files, topk, toxicity
+from tessera.llm import fingerprints, html, jaccard, mixing, packing, secrets, token_files, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_fingerprints, op5_bit_sliced_topk, op6_html_extraction, op8_token_files, op9_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_fingerprints, op5_bit_sliced_topk, op6_html_extraction, op7_jaccard_join, op8_token_files, op9_secret_scan, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op5_bit_sliced_topk": """
