@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html, jaccard, mixing, packing, secrets, token_files, topk, toxicity
+from tessera.llm import fingerprints, html, jaccard, mixing, packing, secrets, suffix_dedup, token_files, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -50,7 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_fingerprints, op5_bit_sliced_topk, op6_html_extraction, op7_jaccard_join, op8_token_files, op9_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_fingerprints, op4_suffix_dedup, op5_bit_sliced_topk, op6_html_extraction, op7_jaccard_join, op8_token_files, op9_secret_scan, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op5_bit_sliced_topk": """
