@@ -81,7 +81,8 @@ def expected_f05_matches(assigned: DataFrame, most: int = 30) -> DataFrame:
         b = b.sort_values(["prob", "cand_id"], ascending=[False, True])
         e = expected_f05(b["prob"].to_numpy(), most)
         k = int(e.argmax())
-        return pd.DataFrame({"s1_id": [key[0]] * k, "cand_id": b["cand_id"].iloc[:k].tolist(), "k": k, "expected": float(e[k])})
+        out = {"s1_id": [key[0]] * k, "cand_id": b["cand_id"].iloc[:k].tolist(), "k": [k] * k, "expected": [float(e[k])] * k}
+        return pd.DataFrame(out).astype({"s1_id": object, "cand_id": object})
 
     return assigned.select("s1_id", "cand_id", "prob").groupBy("s1_id").applyInPandas(best, "s1_id string, cand_id string, k int, expected double")
 

@@ -20,6 +20,7 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
