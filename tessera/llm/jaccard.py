@@ -279,7 +279,7 @@ def _blocks(rows: int, tokens: int) -> F.Column:
     return F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("tokens") / tokens)).cast("int")
 
 
-def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int = 128, tokens: int = 60_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int = 128, tokens: int = 60_000, family: int = 16_384) -> DataFrame:
     """Every row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity 0.8 or more, itself included. Texts
@@ -297,28 +297,49 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
     left = left.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id())
     left = written(left, "jaccard-left")
 
-    key = left.select(F.explode("prefix").alias("key"), "id", "n").distinct()
-    many = key.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).where("rows > 1")
-    key = written(key.join(many, "key"), "jaccard-keys")
+    # sets link only within a factor of 1.25 in size, so a shingle's group is cut by size: a set stands in its own size
+    # class and the next. Groups of the same members are one group.
+    key = left.select(F.explode("prefix").alias("shingle"), "id", "n").distinct()
+    size_class = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    key = key.withColumn("class", F.explode(F.array(size_class, size_class + 1))).withColumn("key", F.xxhash64("shingle", "class"))
+    many = key.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in (0, 1)]).where("rows > 1")
+    many = many.groupBy("rows", "tokens", "m0", "m1").agg(F.min("key").alias("key")).select("key", "rows", "tokens")
+    key = written(key.select("key", "shingle", "id", "n").join(many, "key"), "jaccard-keys")
     wanted = left.join(key.select("id").distinct(), "id").select("id", "digest", "shared", F.col("doc_id").alias("d"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "digest", "text", "shared")
     sets = written(texts.mapInPandas(_full_sets, "id long, keys binary").dropDuplicates(["id"]), "jaccard-sets")
 
-    # first, each document's three rarest shared shingles, large groups cut at random, another way for each shingle
-    near = key.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where("place <= 3")
-    group = near.select("key", F.pmod(F.xxhash64("id", "key"), _blocks(rows, tokens)).alias("block"), F.lit(0).alias("other"), "id", F.col("id").alias("comp"))
-    links = written(_joined(group, sets), "jaccard-links")
+    # documents connected by shared shingles are a family; a family of up to `family` documents is one group instead of
+    # the many of its shingles, which hold the same documents again and again
+    least = key.groupBy("key").agg(F.min("id").alias("least"))
+    chained = components(key.join(least, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    sized = chained.join(key.select("id", "n").distinct(), "id").groupBy(F.col("comp").alias("key")).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    sized = sized.where(F.col("rows") <= family)
+    member = chained.withColumnRenamed("comp", "key").join(sized, "key").join(key.select("id", "n").distinct(), "id")
+    loose = key.join(member.select("id"), "id", "left_anti").select("key", "id", "n", "rows", "tokens")
+    key = written(member.select("key", "id", "n", "rows", "tokens").unionByName(loose).withColumn("blocks", _blocks(rows, tokens)), "jaccard-groups")
+
+    # first, each document's largest two groups; one too large for a task is cut at random, three times over
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("rows"), "key"))
+    chosen = key.select("key", place.alias("place")).where("place <= 2").select("key").distinct()
+    near = key.join(chosen, "key").withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    near = written(near.withColumn("block", F.pmod(F.xxhash64("id", "key", "other"), "blocks")), "jaccard-near")
+    links = written(_joined(near.select("key", "block", "other", "id", F.col("id").alias("comp")), sets), "jaccard-links")
     labels = components(links)
 
-    # then every shared shingle whose documents are not all connected, compared across components
-    known = key.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # then every other group whose documents are not all connected, compared across components; a group within one that
+    # was compared whole has nothing new
+    whole = near.where("blocks = 1").select("id", F.col("key").alias("whole"))
+    open_ = key.join(whole.select(F.col("whole").alias("key")).distinct(), "key", "left_anti")
+    inside = open_.join(whole, "id").groupBy("key", "rows", "whole").agg(F.count("*").alias("n")).where("n = rows").select("key").distinct()
+    known = open_.join(inside, "key", "left_anti").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     known = known.join(split, "key")
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     major = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most")).select("key", F.col("most.comp").alias("major"))
     known = known.join(major, "key").withColumn("minor", F.col("comp") != F.col("major"))
     apart = known.where("minor").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).select("key", _blocks(rows, tokens).alias("others"))
-    known = known.withColumn("blocks", _blocks(rows, tokens)).join(apart, "key")
+    known = known.join(apart, "key")
     block, other = (F.pmod(F.xxhash64("id", "key", F.lit(x)), F.col(x)).cast("int") for x in ("blocks", "others"))
     every = F.struct(block.alias("block"), F.lit(0).alias("other"))
     across = F.when(F.col("others") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(block.alias("block"), i.alias("other")))).otherwise(F.array(every))
