@@ -239,11 +239,12 @@ def _host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, least: int = 10, share: float = 0.2, salts: int = 64) -> DataFrame:
     """Main text of every row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Null html, and pages without text, give an empty text. A null url, or one without a host, counts as the host "".
-    Repeated rows are pages each. White space is what str.split() splits at; br ends a block.
+    Repeated rows are pages each. White space is what str.split() splits at; br ends a block. A host's pages are dealt to
+    `salts` parts, each with a copy of the host's template, so a host with a third of all pages is no one task's.
     """
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,5 +253,7 @@ def extract(pages: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(x) for x in out]})
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
-    rows = rows.join(site_templates(pages, least, share), "host", "left")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    template = site_templates(pages, least, share).select("host", "template", salt)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(template, ["host", "salt"], "left")
     return rows.select("page_id", "url", "html", "template").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
