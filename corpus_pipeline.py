@@ -10,12 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, secrets
+from tessera.llm import jaccard, mixing, packing, secrets, toxicity
 from tessera.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not predict as toxic; its labels are those of sf_dir's table."""
+    scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = scores.where("predicted = 1").select("doc_id").distinct()
+    clean = docs.join(toxic, "doc_id", "left_anti")
+    return clean.select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join, the one whose doc_id names it."""
+    found = jaccard.jaccard_components(docs)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan finds is replaced by a mark; all documents stay."""
     return secrets.redact(docs).select(*COLUMNS)
@@ -31,6 +46,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
     ("secret_scans", secret_scans),
     ("mix_sources", mix_sources),
     ("pack_documents", pack_documents),
