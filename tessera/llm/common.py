@@ -9,13 +9,17 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Printable ASCII and Latin letters with marks: none of them is white space for any tokenizer.
+#: Printable ASCII and Latin letters with marks (none is white space), and the letters among them.
 SOLID = "!-~À-ɏ"
-#: Pieces of a text that byte-level BPE encodes alike alone and in context. A piece ends where one space or line
-#: break stands between two solid characters: the pre-tokenizer always starts a new token there.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Pieces of a text that byte-level BPE encodes alike alone and in context: the pre-tokenizer always starts a new token
+#: where one space or line break stands between solid characters, and where a run of letters ends before other ASCII.
 PIECE = re.compile(
-    rf"[ \n]?[{SOLID}]+(?=[ \n][{SOLID}]|\Z)|[ \n]?.+?(?:(?<=[{SOLID}])(?=[ \n][{SOLID}])|\Z)", re.S
+    rf"[ \n]?[{LETTER}]+(?=[!-@\[-`{{-~]|[ \n][{SOLID}]|\Z)|[ \n]?.+?(?:(?<=[{SOLID}])(?=[ \n][{SOLID}])|\Z)", re.S
 )
+#: Byte-level BPE's printable character for each byte: itself for printable Latin-1, else the next from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path if re.match(r"\w+:/", path) else f"file://{path}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch: texts are long, and a worker holds a batch several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -46,28 +56,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Encoder(dict):
     """Whole texts to token ids as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    Each distinct piece (see PIECE) is encoded once while it stays in the cache; the cache holds at most `room`
-    pieces and starts anew when full, so memory is bounded. Special-token strings in a text are ordinary text.
+    Each distinct piece (see PIECE) is encoded once while it stays in the cache. The cache has two generations of at most
+    `room` pieces each: when the young one is full it becomes the old one, and pieces found there are young again, so
+    frequent pieces stay and memory is bounded. Special-token strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 150_000):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room = room
+        self.room, self.old = room, {}
+        self.model = self.tokenizer.model
+        self.newline = self["\n"] if isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) else None
 
     def __missing__(self, piece: str) -> bytes:
-        out = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(piece) <= 40:
-            if len(self) >= self.room:
-                self.clear()
-            self[piece] = out
-        return out
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Caches new pieces. One word is one token of the pre-tokenizer, so it goes straight to the BPE model."""
+        if len(self) + len(pieces) > self.room:
+            self.old = dict(self)
+            self.clear()
+        old, tokenize = self.old.get, self.model.tokenize
+        for piece in pieces:
+            ids = old(piece)
+            if ids is None:
+                word = piece[1:] if piece[0] in " \n" else piece
+                if self.newline is None or not word.isalpha():
+                    ids = self[piece]
+                else:
+                    shown = "Ġ" + word if piece[0] == " " else word
+                    if not word.isascii():
+                        shown = (" " + word if piece[0] == " " else word).encode().decode("latin-1").translate(BYTES)
+                    ids = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                    if piece[0] == "\n":
+                        ids = self.newline + ids
+            if len(piece) <= 40:
+                self[piece] = ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, PIECE.findall(text))) if text else b""
+        if not text:
+            return b""
+        pieces = PIECE.findall(text)
+        out = list(map(self.get, pieces))
+        if None in out:
+            missing = [k for k, ids in enumerate(out) if ids is None]
+            self.learn({pieces[k] for k in missing})
+            for k in missing:
+                out[k] = self[pieces[k]]
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
