@@ -63,6 +63,20 @@ def split_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def fill(rows: DataFrame, group: str, order: list, size: str, passes: int) -> DataFrame:
+    """rows with `took`: in each group and order, what fits into `left`, a few times over, as sums of prefixes; `left` is
+    what stays open."""
+    whole = Window.partitionBy(group)
+    upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("took", F.lit(False))
+    for _ in range(passes):
+        fits = ~F.col("took") & (F.col(size) <= F.col("left"))
+        rows = rows.withColumn("_sum", F.when(fits, F.sum(F.when(fits, F.col(size))).over(upto)))
+        rows = rows.withColumn("_now", F.coalesce(F.col("_sum") <= F.col("left"), F.lit(False)))
+        rows = rows.withColumn("left", F.col("left") - F.sum(F.when(F.col("_now"), F.col(size)).otherwise(0)).over(whole)).withColumn("took", F.col("took") | F.col("_now"))
+    return rows.drop("_sum", "_now")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_docs: int = 64, max_blocks: int = 65_536, max_sources: int = 100_000, passes: int = 4, seed: int = 23) -> DataFrame:
     """The mix of docs (doc_id, text, source): a row for each document.
 
@@ -70,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     repeats: an array of the output shard of each) and place (order within a shard). Sources are ordered by code
     point, null last, and weigh `weights` in turn. Each source is cut into blocks by a hash of the document. Where a
     source's target is r times its size, all its blocks are taken floor(r) times and a permuted prefix of them once
-    more; the block where the prefix ends is resolved by document. The taken blocks are split among the shards by
+    more, and the next three blocks are resolved by document. The taken blocks are split among the shards by
     split_quotas, dealt disjointly in permuted order, and shuffled locally by `place`.
 
     Null text: size 0, never more than floor(r) copies of nothing. Repeated rows stay together (same block, each
@@ -96,9 +110,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
     order = F.xxhash64(F.lit(seed), "sid", "block", F.lit("extra"))
     blocks = rows.groupBy("sid", "block", "whole", "rest").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("sid").orderBy(order, "block")
-    blocks = blocks.withColumn("upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0)).withColumn("within", F.col("rest") - F.col("upto") + F.col("words"))
+    blocks = fill(blocks.withColumn("left", F.col("rest")), "sid", [order, F.col("block")], "words", passes)
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy("took", order, "block"))
+    blocks = blocks.withColumn("part", F.when(F.col("took"), 2).when((nth <= 3) & (F.col("left") > 0), 1).otherwise(0)).withColumnRenamed("left", "within")
 
     # every taken block, once for each time it is taken, gets its number in the source's permutation
     epochs = F.expr("filter(sequence(0, whole), e -> e < whole OR part > 0)")
@@ -113,17 +127,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 
     out = rows.join(dealt.select("sid", "block", "part", "within", "items"), ["sid", "block"], "left")
 
-    # one block of each source at most is taken in part: in permuted order, what still fits is taken, a few times over
-    whole_block = Window.partitionBy("sid", "block")
-    inside = whole_block.orderBy(F.xxhash64("h", F.lit("cut")), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = out.where("part = 1").withColumn("left", F.col("within")).withColumn("extra", F.lit(False))
-    for _ in range(passes):
-        fits = ~F.col("extra") & (F.col("size") <= F.col("left"))
-        cut = cut.withColumn("upto", F.when(fits, F.sum(F.when(fits, F.col("size"))).over(inside)))
-        now = F.coalesce(F.col("upto") <= F.col("left"), F.lit(False))
-        cut = cut.withColumn("now", now).withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(whole_block)).withColumn("extra", F.col("extra") | F.col("now"))
+    # a few blocks of each source are taken in part: in permuted order, what still fits is taken
+    cut = fill(out.where("part = 1").withColumn("left", F.col("within")), "sid", [F.xxhash64("h", F.lit("cut")), F.col("h"), F.col("doc_id")], "size", passes)
     rest = out.where("coalesce(part, 0) <> 1").withColumn("extra", F.coalesce(F.col("part") == 2, F.lit(False)))
-    out = rest.unionByName(cut.select(*rest.columns))
+    out = rest.unionByName(cut.withColumnRenamed("took", "extra").select(*rest.columns))
     kept = F.when(F.col("extra"), F.col("items")).otherwise(F.expr("filter(items, i -> i.epoch < whole)"))
     out = out.withColumn("copies", F.transform(F.coalesce(kept, F.expr("array()")), lambda i: i["shard"]))
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies", F.xxhash64("h", F.lit("place")).alias("place"))
