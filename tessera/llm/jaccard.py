@@ -287,6 +287,7 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
     whole. Equal sets are one class and linked, however many rows have them. Null doc_ids are members, but never a
     component's name unless it has no other. Repeated rows give repeated rows; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     buckets = int(min(1 << 20, max(256, docs.count() // 1000)))
     units = written(_units(docs, buckets, unit_tokens), "jaccard-units")
     meta = units.where("bucket < 0").select("unit", "at", "doc_id", "digest", "n", "n_low", "rest", "hot")
