@@ -14,8 +14,8 @@ def md5_mod(c: Column, k: int) -> Column:
 
 
 def md5_unit(c: Column, salt: str = "") -> Column:
-    """The whole md5 of salt and id as a number, mod 1000, over 1000."""
-    h = F.md5(F.concat(F.lit(salt), c).cast("binary"))
+    """The whole md5 of id and salt as a number, mod 1000, over 1000."""
+    h = F.md5(F.concat(c, F.lit(salt)).cast("binary"))
     high, low = (F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)") % F.lit(1000) for at in (1, 17))
     return (((high * F.lit(pow(2, 64, 1000)) + low) % F.lit(1000)).cast("int") / F.lit(1000)).cast("double")
 

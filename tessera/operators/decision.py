@@ -127,7 +127,7 @@ def profile(assigned: DataFrame, spine: DataFrame, top: int = 10) -> DataFrame:
     p = [F.coalesce(F.max(F.when(F.col("r") == k, F.col("prob"))), F.lit(0.0)).alias(f"p{k}") for k in range(1, top + 1)]
     level = [F.sum((F.col("prob") >= v / 100).cast("int")).alias(f"n_ge{v}") for v in (10, 30, 50, 70, 90)]
     by_source = [e for s in (2, 3) for e in (F.sum(((F.col("src") == s) & (F.col("prob") >= 0.5)).cast("int")).alias(f"s{s}_ge50"), F.max(F.when(F.col("src") == s, F.col("prob")).otherwise(0.0)).alias(f"s{s}_max"))]
-    none = F.sum(F.log(F.least(F.greatest(1 - F.col("prob"), F.lit(1e-6)), F.lit(1.0)))).alias("log_p_none")
+    none = F.sum(F.when(F.col("r") <= top, F.log(F.least(F.greatest(1 - F.col("prob"), F.lit(1e-6)), F.lit(1.0))))).alias("log_p_none")
     agg = ranked.groupBy("s1_id").agg(*p, F.count("*").alias("n_assigned"), F.sum("prob").alias("p_sum"), *level, *by_source, none)
     out = spine.select("s1_id").join(agg, "s1_id", "left").na.fill(0)
     return out.withColumns({f"gap{k}": F.col(f"p{k}") - F.col(f"p{k + 1}") for k in range(1, top)})
@@ -173,17 +173,17 @@ def top_k_matches(assigned: DataFrame, k: DataFrame, floor: float = 0.0) -> Data
 
 
 def relative_features(assigned: DataFrame) -> DataFrame:
-    """Each candidate against the others of its S1: rank, best, ratio, gaps, mass above, size, rank in its source."""
+    """Each candidate against the others of its S1: rank from 0, best, ratio, gaps, mass above, size, rank in its source."""
     best = Window.partitionBy("s1_id").orderBy(F.desc("prob"), "cand_id")
     group, src = Window.partitionBy("s1_id"), F.substring("cand_id", 2, 1)
     own = Window.partitionBy("s1_id", src).orderBy(F.desc("prob"), "cand_id")
     return assigned.withColumns(
         {
-            "r_rank": F.row_number().over(best), "r_pmax": F.max("prob").over(group), "r_n": F.count("*").over(group), "r_n_ge50": F.sum((F.col("prob") >= 0.5).cast("int")).over(group),
+            "r_rank": F.row_number().over(best) - 1, "r_pmax": F.max("prob").over(group), "r_n": F.count("*").over(group), "r_n_ge50": F.sum((F.col("prob") >= 0.5).cast("int")).over(group),
             "r_prev_gap": F.coalesce(F.lag("prob").over(best) - F.col("prob"), F.lit(0.0)), "r_next_gap": F.coalesce(F.col("prob") - F.lead("prob").over(best), F.col("prob")),
             "r_mass_above": F.coalesce(F.sum("prob").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "r_rank_src": F.row_number().over(own),
         }
-    ).withColumn("r_ratio", F.col("prob") / F.greatest("r_pmax", F.lit(1e-9)))
+    ).withColumn("r_ratio", F.col("prob") / F.greatest("r_pmax", F.lit(1e-6)))
 
 
 def owned(selected: DataFrame, preds: DataFrame) -> DataFrame:

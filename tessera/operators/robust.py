@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import md5_unit, uniform
-from tessera.functions.text import house_street_raw_key, sorted_key
+from tessera.functions.text import sorted_key, unpadded
+from tessera.operators.decision import f05
 
 
 def band_mass(preds: DataFrame, low: float = 0.05, high: float = 0.98) -> DataFrame:
@@ -15,9 +16,9 @@ def band_mass(preds: DataFrame, low: float = 0.05, high: float = 0.98) -> DataFr
     return preds.agg((F.sum(inside.cast("int")) / F.countDistinct("s1_id")).alias("band"))
 
 
-def negative_weight(rho: float, pos: float, neg: float) -> float:
+def negative_weight(rho: float, band: float, pos: float) -> float:
     """How often a band negative must count so that the band holds rho times its mass; 1 at least."""
-    return max(1.0, (rho * (pos + neg) - pos) / neg) if neg > 0 else 1.0
+    return max(1.0, (rho * band - pos) / (band - pos)) if band > pos else 1.0
 
 
 def copies(labeled: DataFrame, w: float, low: float = 0.05, high: float = 0.98) -> DataFrame:
@@ -38,12 +39,12 @@ def dm_entity_f05(labeled: DataFrame, spine: DataFrame, t: float | Column) -> Da
 
 
 def twin_flag(s1: DataFrame) -> DataFrame:
-    """entity_id, shared (another S1 has its address or house and street), twin (another S1 of its name key lives
-    elsewhere)."""
-    k = s1.select("entity_id", "country", sorted_key("n_core").alias("n_key"), sorted_key("a_full").alias("a_key"), house_street_raw_key().alias("hs_key"))
+    """entity_id, shared (another S1 of the country has its name or address key), twin (another of its name key has
+    another house number, leading zeros aside)."""
+    k = s1.select("entity_id", "country", sorted_key("n_core").alias("n_key"), sorted_key("a_full").alias("a_key"), unpadded("a_house").alias("house"))
     size = lambda key: F.when(F.col(key) != "", F.count("*").over(Window.partitionBy("country", key))).otherwise(0)
-    places = F.size(F.collect_set("a_key").over(Window.partitionBy("country", "n_key")))
-    return k.withColumns({"shared": (size("a_key") > 1) | (size("hs_key") > 1), "twin": (F.col("n_key") != "") & (places > 1)}).select("entity_id", "shared", "twin")
+    places = F.size(F.collect_set("house").over(Window.partitionBy("country", "n_key")))
+    return k.withColumns({"shared": (size("n_key") > 1) | (size("a_key") > 1), "twin": (F.col("n_key") != "") & (places > 1)}).select("entity_id", "shared", "twin")
 
 
 VARIANTS = ("uniform", "biased", "twin")
@@ -57,6 +58,8 @@ def removal_mask(s1: DataFrame, rate: float, variant: str = "uniform", salt: str
     """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
+    if rate <= 0:
+        return s1.select("entity_id", F.lit(False).alias("removed"))
     unit = md5_unit(F.col("entity_id"), salt)
     rows = s1.select("entity_id").withColumn("u", unit)
     if variant == "uniform":
@@ -70,12 +73,11 @@ def removal_mask(s1: DataFrame, rate: float, variant: str = "uniform", salt: str
 
 
 def loss_decomposition(scores: DataFrame) -> DataFrame:
-    """One row: 1 - macro F0.5 split into false matches on singletons, other false matches and misses."""
-    loss = 1 - F.col("f05")
-    bad = F.col("fp") / (F.col("fp") + 0.25 * F.col("fn"))
-    single = F.col("n_true") == 0
-    wrong = F.when(~single & (F.col("fp") + F.col("fn") > 0), loss * bad).otherwise(0.0)
-    missed = F.when(~single & (F.col("fp") + F.col("fn") > 0), loss * (1 - bad)).otherwise(0.0)
+    """One row: 1 - macro F0.5 split into false matches on singletons, other false matches (what dropping them would
+    gain) and misses (the rest)."""
+    loss, single = 1 - F.col("f05"), F.col("n_true") == 0
+    clean = f05(F.col("tp"), F.col("n_true"), F.col("tp"))
+    wrong, missed = (F.when(~single, x).otherwise(0.0) for x in (clean - F.col("f05"), 1 - clean))
     return scores.agg(F.avg(loss).alias("loss"), F.avg(F.when(single, loss).otherwise(0.0)).alias("fp_singleton"), F.avg(wrong).alias("fp_other"), F.avg(missed).alias("fn"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import decision, metrics, models, robust
+from tessera.operators import decision, evaluation, metrics, models, robust
 from tessera.plans.records import UNIT
 from tessera.plans.registry import query
 from tessera.plans.views import PAIRS, RECORDS, SCORES, Views, f05_sql, key, tok
@@ -73,7 +73,7 @@ RANKS = "rk AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DE
 
 
 @query("j7_profile", "s1_id:s p1:d p2:d p10:d gap1:d n_assigned:i p_sum:d n_ge50:i n_ge90:i s2_ge50:i s3_ge50:i s3_max:d log_p_none:d", f"""{WP}, {RANKS}, g AS (SELECT s.s1_id, coalesce(max(CASE WHEN k = 1 THEN prob END), 0) AS p1, coalesce(max(CASE WHEN k = 2 THEN prob END), 0) AS p2, coalesce(max(CASE WHEN k = 10 THEN prob END), 0) AS p10, count(prob) AS n_assigned, coalesce(sum(prob), 0) AS p_sum, count(CASE WHEN prob >= 0.5 THEN 1 END) AS n_ge50, count(CASE WHEN prob >= 0.9 THEN 1 END) AS n_ge90,
- count(CASE WHEN src = 2 AND prob >= 0.5 THEN 1 END) AS s2_ge50, count(CASE WHEN src = 3 AND prob >= 0.5 THEN 1 END) AS s3_ge50, coalesce(max(CASE WHEN src = 3 THEN prob END), 0) AS s3_max, coalesce(sum(CASE WHEN prob IS NOT NULL THEN ln(least(greatest(1 - prob, 1e-6), 1.0)) END), 0) AS log_p_none FROM spine s LEFT JOIN rk ON rk.s1_id = s.s1_id GROUP BY s.s1_id)
+ count(CASE WHEN src = 2 AND prob >= 0.5 THEN 1 END) AS s2_ge50, count(CASE WHEN src = 3 AND prob >= 0.5 THEN 1 END) AS s3_ge50, coalesce(max(CASE WHEN src = 3 THEN prob END), 0) AS s3_max, coalesce(sum(CASE WHEN k <= 10 THEN ln(least(greatest(1 - prob, 1e-6), 1.0)) END), 0) AS log_p_none FROM spine s LEFT JOIN rk ON rk.s1_id = s.s1_id GROUP BY s.s1_id)
 SELECT *, p1 - p2 AS gap1 FROM g""")
 def j7(spark, d):
     v = Views(spark, d)
@@ -102,8 +102,8 @@ def j10(spark, d):
     return decision.top_k_matches(v.assigned, v.spine.withColumn("k", F.substring("s1_id", 4, 20).cast("int") % 3), 0.2)
 
 
-@query("j11_relative", "s1_id:s cand_id:s r_rank:i r_pmax:d r_n:i r_n_ge50:i r_prev_gap:d r_next_gap:d r_mass_above:d r_rank_src:i r_ratio:d", f"""{WP}, {RANKS} SELECT s1_id, cand_id, k AS r_rank, max(prob) OVER g AS r_pmax, count(*) OVER g AS r_n, sum(CAST(prob >= 0.5 AS INT)) OVER g AS r_n_ge50, coalesce(lag(prob) OVER o - prob, 0) AS r_prev_gap, coalesce(prob - lead(prob) OVER o, prob) AS r_next_gap, coalesce(sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r_mass_above,
- row_number() OVER (PARTITION BY s1_id, src ORDER BY prob DESC, cand_id) AS r_rank_src, prob / greatest(max(prob) OVER g, 1e-9) AS r_ratio FROM rk WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id)""")
+@query("j11_relative", "s1_id:s cand_id:s r_rank:i r_pmax:d r_n:i r_n_ge50:i r_prev_gap:d r_next_gap:d r_mass_above:d r_rank_src:i r_ratio:d", f"""{WP}, {RANKS} SELECT s1_id, cand_id, k - 1 AS r_rank, max(prob) OVER g AS r_pmax, count(*) OVER g AS r_n, sum(CAST(prob >= 0.5 AS INT)) OVER g AS r_n_ge50, coalesce(lag(prob) OVER o - prob, 0) AS r_prev_gap, coalesce(prob - lead(prob) OVER o, prob) AS r_next_gap, coalesce(sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r_mass_above,
+ row_number() OVER (PARTITION BY s1_id, src ORDER BY prob DESC, cand_id) AS r_rank_src, prob / greatest(max(prob) OVER g, 1e-6) AS r_ratio FROM rk WINDOW g AS (PARTITION BY s1_id), o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id)""")
 def j11(spark, d):
     return decision.relative_features(Views(spark, d).assigned)
 
@@ -214,8 +214,8 @@ def m9(spark, d):
     return robust.dm_entity_f05(robust.copies(label(v.assigned, v.truth), 3.0), spine, 0.5)
 
 
-TWIN = f"""tk AS (SELECT entity_id, country, {key('n_core')} AS n_key, {key('a_full')} AS a_key, CASE WHEN a_house <> '' AND {key('a_street')} <> '' THEN a_house || '|' || {key('a_street')} ELSE '' END AS hs_key FROM s1),
-tw AS (SELECT entity_id, (a_key <> '' AND (SELECT count(*) FROM tk b WHERE b.country = tk.country AND b.a_key = tk.a_key) > 1) OR (hs_key <> '' AND (SELECT count(*) FROM tk b WHERE b.country = tk.country AND b.hs_key = tk.hs_key) > 1) AS shared, n_key <> '' AND (SELECT count(DISTINCT b.a_key) FROM tk b WHERE b.country = tk.country AND b.n_key = tk.n_key) > 1 AS twin FROM tk)"""
+TWIN = f"""tk AS (SELECT entity_id, country, {key('n_core')} AS n_key, {key('a_full')} AS a_key, ltrim(a_house, '0') AS house FROM s1),
+tw AS (SELECT entity_id, (a_key <> '' AND (SELECT count(*) FROM tk b WHERE b.country = tk.country AND b.a_key = tk.a_key) > 1) OR (n_key <> '' AND (SELECT count(*) FROM tk b WHERE b.country = tk.country AND b.n_key = tk.n_key) > 1) AS shared, n_key <> '' AND (SELECT count(DISTINCT b.house) FROM tk b WHERE b.country = tk.country AND b.n_key = tk.n_key) > 1 AS twin FROM tk)"""
 
 
 @query("m10_twin_flag", "entity_id:s shared:b twin:b", f"WITH {RECORDS}, {TWIN} SELECT entity_id, shared, twin FROM tw")
@@ -228,7 +228,7 @@ def m10(spark, d):
     return robust.removal_mask(Views(spark, d).s1, 0.19, "biased")
 
 
-@query("m11_loss_split", "loss:d fp_singleton:d fp_other:d fn:d", f"""{WS} SELECT avg(1 - f05) AS loss, avg(CASE WHEN n_true = 0 THEN 1 - f05 ELSE 0 END) AS fp_singleton, avg(CASE WHEN n_true > 0 AND fp + fn > 0 THEN (1 - f05) * fp / (fp + 0.25 * fn) ELSE 0 END) AS fp_other, avg(CASE WHEN n_true > 0 AND fp + fn > 0 THEN (1 - f05) * (1 - fp / (fp + 0.25 * fn)) ELSE 0 END) AS fn FROM scores""")
+@query("m11_loss_split", "loss:d fp_singleton:d fp_other:d fn:d", f"""{WS} SELECT avg(1 - f05) AS loss, avg(CASE WHEN n_true = 0 THEN 1 - f05 ELSE 0 END) AS fp_singleton, avg(CASE WHEN n_true > 0 THEN c - f05 ELSE 0 END) AS fp_other, avg(CASE WHEN n_true > 0 THEN 1 - c ELSE 0 END) AS fn FROM (SELECT *, {f05_sql('tp', 'n_true', 'tp')} AS c FROM scores)""")
 def m11(spark, d):
     return robust.loss_decomposition(scores(Views(spark, d)))
 
@@ -303,3 +303,37 @@ def d1(spark, d):
     register(spark)
     Views(spark, d).pairs.createOrReplaceTempView("similarity_pairs")
     return spark.sql("SELECT s1_id, cand_id, token_set_ratio(n_core, n_core_c) AS tset, partial_ratio(n_core, n_core_c) AS partial FROM similarity_pairs")
+
+
+@query("m17_harness", "n:i macro_f05:d pair_precision:d pair_recall:d t:d", f"""{WP}, {CURVE}, best AS (SELECT t FROM curve ORDER BY round(macro, 9) DESC, t LIMIT 1),
+h AS (SELECT n.s1_id, n.n_true, count(a.cand_id) AS p, count(x.match_id) AS tp FROM ntrue n LEFT JOIN assigned a ON a.s1_id = n.s1_id AND a.prob >= (SELECT t FROM best) LEFT JOIN truth x ON x.s1_id = a.s1_id AND x.match_id = a.cand_id GROUP BY ALL)
+SELECT count(*) AS n, avg({f05_sql('tp', 'n_true', 'p')}) AS macro_f05, coalesce(sum(tp) / CAST(nullif(sum(p), 0) AS DOUBLE), 1) AS pair_precision, coalesce(sum(tp) / CAST(nullif(sum(n_true), 0) AS DOUBLE), 1) AS pair_recall, (SELECT t FROM best) AS t FROM h""")
+def m17(spark, d):
+    v = Views(spark, d)
+    return evaluation.log_predictions(v.preds, v.truth, v.spine)
+
+
+@query("m13_loco", "trained_on:s tested_on:s t_source:d f_source:d t_target:d f_target:d")
+def m13(spark, d):
+    v = Views(spark, d)
+    rows = _numeric(v).join(v.spine, "s1_id").persist()
+    return evaluation.loco(rows, FEATURES, v.truth, v.spine, ["en", "fr"], rounds=3, depth=2)
+
+
+@query("m14_adversarial", "auc:d")
+def m14(spark, d):
+    rows = _numeric(Views(spark, d)).persist()
+    auc = evaluation.adversarial_auc(rows.where("cand_src = 0"), rows.where("cand_src = 1"), [f for f in FEATURES if f != "cand_src"], folds=2, rounds=3, depth=2)
+    return spark.createDataFrame([(auc,)], "auc double")
+
+
+@query("m14_quantiles", "feature:s lo:d mid:d", f"{WP} SELECT 'name_sim' AS feature, quantile_cont(name_sim, 0.05) AS lo, quantile_cont(name_sim, 0.5) AS mid FROM near UNION ALL SELECT 'addr_sim', quantile_cont(addr_sim, 0.05), quantile_cont(addr_sim, 0.5) FROM near")
+def m14_quantiles(spark, d):
+    q = evaluation.feature_quantiles(Views(spark, d).pairs, ["name_sim", "addr_sim"], (0.05, 0.5))
+    return q.select("feature", F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"))
+
+
+@query("m15_templated_streets", "s1_id:s cand_id:s street_sim:d")
+def m15(spark, d):
+    v = Views(spark, d)
+    return evaluation.templated_streets(v.pairs, v.s1, 0.02)

@@ -97,7 +97,7 @@ def c16(spark, d):
     return tables.folds(v.spine, v.truth)
 
 
-UNIT = "((CAST(('0x' || substr(md5('orphan' || {0}), 1, 16)) AS UBIGINT) % 1000) * 616 + CAST(('0x' || substr(md5('orphan' || {0}), 17, 16)) AS UBIGINT) % 1000) % 1000 / 1000.0"
+UNIT = "((CAST(('0x' || substr(md5({0} || 'orphan'), 1, 16)) AS UBIGINT) % 1000) * 616 + CAST(('0x' || substr(md5({0} || 'orphan'), 17, 16)) AS UBIGINT) % 1000) % 1000 / 1000.0"
 
 
 @query("c17_unit_md5", "entity_id:s u:d", f"{W} SELECT entity_id, {UNIT.format('entity_id')} AS u FROM s1")
