@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
@@ -252,6 +254,7 @@ def extract(pages: DataFrame, least: int = 10, share: float = 0.2, salts: int =
             out = [main_text(p, frozenset(map(bytes, t)) if t is not None else frozenset()) for p, t in zip(b["html"], b["template"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(x) for x in out]})
 
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     template = site_templates(pages, least, share).select("host", "template", salt)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small_batches, written
 from tessera.llm.components import components
 
 N = 5
@@ -251,7 +251,7 @@ def tree_links(sets: list[np.ndarray], comp: list[int]) -> list[tuple[int, int]]
         overlap, active = overlap[keep], active[keep]
         if not len(active):
             continue
-        if len(first) == to:  # ends here
+        while lo < hi and len(paths[order[lo]]) == to:  # ends here
             y = order[lo]
             hit = (9 * overlap >= 4 * (size[active] + size[y])) & (active != y)
             for x in active[hit].tolist():

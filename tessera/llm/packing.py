@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import default_tokenizer, encoder
+from tessera.llm.common import default_tokenizer, encoder, small_batches
 
 
 class Tournament:
@@ -112,6 +112,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     """
     tokenizer = tokenizer or default_tokenizer()
     end = np.uint32(end_id).tobytes()
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
 
     def tokens(batches):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, small_batches
 
 RULE_VERSION = "base+pem+prefix/1"
 #: The base rules, in order, as the contract states them (fixed values).
@@ -76,6 +76,7 @@ def scan_new(docs: DataFrame, ledger: str, version: str = RULE_VERSION) -> DataF
     those texts move. A null text is the empty blob.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blobs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     blobs = blobs.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
     wanted = blobs.groupBy("blob").agg(F.min("id").alias("id"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, small_batches
 
 LENGTH = 200
 GRAM = 32
@@ -398,6 +398,7 @@ def dedup(docs: DataFrame, unit_anchors: int = 200_000, shard_bytes: int = 3_000
     joined.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = text.select("doc_id", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = _stored(text.mapInPandas(_find_anchors, "doc_id long, sha string, n_bytes long, anchors binary"), "dedup-anchors")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small_batches, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Insults and abuse by theme, in the languages of the corpus.
@@ -195,6 +195,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000)
     toxic); a document labelled twice counts as toxic if either label says so. Null and empty texts get the score of no
     evidence. Repeated rows are scored each. Without labels of both classes the label model's posterior is the score.
     """
+    small_batches(docs.sparkSession)
     sample = F.broadcast(training_labels(labels, train_rows))  # train_rows rows of two numbers at most
     lexicon = learn_lexicon(docs.select("doc_id", "text").join(sample, "doc_id"))
 
