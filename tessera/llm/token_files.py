@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import default_tokenizer, encoder, new_path
+from tessera.llm.common import default_tokenizer, encoder, new_path, small_batches
 
 MAGIC = b"TSRPFOR1"
 HEAD = struct.Struct("<8sIQQQQ")
@@ -53,6 +53,13 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(words), BLOCK)
 
 
+_short = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def bit_lengths(d: np.ndarray) -> np.ndarray:
+    return _short[d] if d.max(initial=0) < 1 << 16 else np.frexp(d.astype(np.float64))[1].astype(np.uint8)
+
+
 def encode_file(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], before: int = 0, percentile: float = 90) -> bytes:
     """One file's bytes for ids (uint32), the documents' ids and where each starts."""
     n = len(ids)
@@ -64,7 +71,7 @@ def encode_file(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], b
     v = v.reshape(blocks, BLOCK)
     low = v.min(axis=1) if blocks else np.zeros(0, np.uint32)
     d = v - low[:, None]
-    bits = np.frexp(d.astype(np.float64))[1].astype(np.uint8)
+    bits = bit_lengths(d)
     place = min(BLOCK - 1, int(np.ceil(percentile / 100 * BLOCK)) - 1)
     width = np.partition(bits, place, axis=1)[:, place] if blocks else np.zeros(0, np.uint8)
     packed: list[bytes] = [b""] * blocks
@@ -171,9 +178,11 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
                 ids, docs, starts, before = decode_file(data)
-                cut = [ids[a:z] for a, z in zip(starts[:-1], starts[1:], strict=True)]
-                out = pd.DataFrame({"part": int(name.rsplit("part-", 1)[1][:6]), "doc_id": pd.array(docs, "Int64"), "at": starts[:-1] + before, "n_tokens": np.diff(starts), "ids_crc32": [zlib.crc32(x.tobytes()) for x in cut]})
-                yield out.assign(ids=[x.astype(np.int32) for x in cut]) if with_ids else out
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                ends = (4 * starts).tolist()
+                crcs = [zlib.crc32(raw[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                out = pd.DataFrame({"part": int(name.rsplit("part-", 1)[1][:6]), "doc_id": pd.array(docs, "Int64"), "at": starts[:-1] + before, "n_tokens": np.diff(starts), "ids_crc32": crcs})
+                yield out.assign(ids=np.split(ids.astype(np.int32), starts[1:-1])) if with_ids else out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tpf").load(path).select("path", "content")
     return files.mapInPandas(decode, schema)
@@ -185,6 +194,7 @@ def token_files(docs: DataFrame, out: str | None = None, **how) -> DataFrame:
     Empty table: no rows. The ids of earlier parts are summed over a row for each part, not for each document.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = out or new_path(spark, "token-files")
     manifest = f"{out}/manifest"
     write_token_files(docs, out, **how).write.parquet(manifest)
