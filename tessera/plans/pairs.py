@@ -228,3 +228,12 @@ SELECT s.s1_id, s.cand_id, count(*) OVER w AS ps_n, rank() OVER (PARTITION BY s.
 FROM s LEFT JOIN m ON m.s1_id = s.s1_id AND m.src = 1 - s.src WINDOW w AS (PARTITION BY s.s1_id, s.src)""")
 def i9(spark, d):
     return context.g7_per_source(Views(spark, d).pairs.withColumn("cand_src", (F.col("source_c") == 3).cast("int")), ("name_sim", "addr_sim"))
+
+
+@query("e16_cap_score", "s1_id:s cand_id:s cos_name:d cos_na:d score:d", f"""{WP}, {TERMS}, n AS (SELECT p.s1_id, p.cand_id, coalesce(round(sum(a.w * b.w), 6), 0) AS c FROM pairs p LEFT JOIN vec a ON a.id = p.s1_id AND a.view = 'name' LEFT JOIN vec b ON b.id = p.cand_id AND b.view = a.view AND b.term = a.term GROUP BY ALL), m AS (SELECT p.s1_id, p.cand_id, coalesce(round(sum(a.w * b.w), 6), 0) AS c FROM pairs p LEFT JOIN both_ a ON a.id = p.s1_id LEFT JOIN both_ b ON b.id = p.cand_id AND b.view = a.view AND b.term = a.term GROUP BY ALL)
+SELECT p.s1_id, p.cand_id, n.c AS cos_name, m.c AS cos_na, CASE WHEN p.a_empty OR p.a_empty_c THEN n.c ELSE m.c END AS score FROM pairs p JOIN n ON n.s1_id = p.s1_id AND n.cand_id = p.cand_id JOIN m ON m.s1_id = p.s1_id AND m.cand_id = p.cand_id""")
+def e16(spark, d):
+    v = Views(spark, d)
+    a, b, q, p = _vectors(v)
+    named = tfidf.row_dot(v.pairs.select("s1_id", "cand_id", "a_empty", "a_empty_c"), a.where("view = 'name'"), b.where("view = 'name'"), "cos_name")
+    return tfidf.cap_score(tfidf.row_dot(named, q, p, "cos_na"))

@@ -261,3 +261,51 @@ def e20(spark, d):
 def m6(spark, d):
     v = Views(spark, d)
     return metrics.marginal_recall(unioned(v), v.truth, {n: blocking.RBITS[n] for n in ("akey", "hskey", "skel")})
+
+
+PREC = "prec AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 1 WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END AS source, p_type AS country, p_name AS n_core, CAST(p_size AS VARCHAR) AS a_house, p_partkey FROM part), pr AS (SELECT 'S' || source || '-' || p_partkey AS entity_id, * FROM prec)"
+
+
+@query("e5g_dense_blocks", "s1_id:s cand_id:s", f"""WITH {PREC}, k AS (SELECT entity_id, country, source, {key('n_core')} AS key FROM pr), g AS (SELECT country, key FROM k WHERE source <> 1 GROUP BY country, key HAVING count(*) <= 5)
+SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM k a JOIN k b ON b.country = a.country AND b.key = a.key JOIN g ON g.country = b.country AND g.key = b.key WHERE a.source = 1 AND b.source <> 1""")
+def e5g(spark, d):
+    """Name keys over a small vocabulary, where caps fire."""
+    s1, pool = fixtures.split(fixtures.prec(spark, d))
+    return blocking.key_join(s1, pool, text.sorted_key("n_core"), 5)
+
+
+@query("a9_samples", "kind:s id:s", f"""{WP}, c AS (SELECT DISTINCT s1_id AS id FROM truth), f AS (SELECT entity_id AS id FROM pool WHERE entity_id NOT IN (SELECT match_id FROM truth))
+SELECT 'cluster' AS kind, id FROM (SELECT id FROM c ORDER BY md5(id || '7'), id LIMIT 20) UNION ALL SELECT 'distractor', id FROM (SELECT id FROM f ORDER BY md5(id || '7'), id LIMIT 30)""")
+def a9(spark, d):
+    v = Views(spark, d)
+    return tables.audit_samples(v.records, v.truth, 20, 30)
+
+
+@query("a14_cache_union", "s1_id:s cand_id:s rbits:i kmask:i is_es:b", f"""{W}, {RBITS}, {_branch('rc', 'substr(n_compact, 1, 8)', 10, 5, 3)}
+SELECT s1_id, cand_id, rbits, rbits & 15 AS kmask, false AS is_es FROM cands UNION ALL SELECT s1_id, cand_id, bit, 7, CAST(substr(s1_id, 4) AS INT) % 2 = 0 FROM rc""")
+def a14(spark, d):
+    v = Views(spark, d)
+    late = blocking.key_join(v.s1, v.pool, F.substring("n_compact", 1, 8), 10, 5).withColumns({"rbits": F.lit(3), "kmask": F.lit(7), "role": F.when(F.substring("s1_id", 4, 20).cast("int") % 2 == 0, "es").otherwise("train")})
+    return tables.load_cache([unioned(v), late])
+
+
+@query("a23_text_export", "row:i text:s", f"{W} SELECT row_number() OVER (ORDER BY entity_id) - 1 + 100 AS row, n_core || ' | ' || a_full AS text FROM s1")
+def a23(spark, d):
+    return tables.text_export(Views(spark, d).s1, 100)
+
+
+@query("e18_candidates", "s1_id:s cand_id:s rbits:i kmask:i")
+def e18(spark, d):
+    """All exact-key retrievers at their own caps, in one plan."""
+    v = Views(spark, d)
+    return blocking.candidates(v.s1, v.pool)
+
+
+@query("b4_normalize", "entity_id:s n_full:s n_core:s n_legal:s n_alias:s n_kind:s a_full:s a_house:s a_postcode:s a_state:s a_nparts:i n_script:s")
+def b4(spark, d):
+    """Names and addresses normalized from raw lines."""
+    from tessera.functions.normalize import normalize
+
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    raw = docs.select(F.concat(F.lit("S1-"), F.col("doc_id")).alias("entity_id"), F.substring("text", 1, 60).alias("business_name"), F.concat_ws(", ", (F.col("n_chars") % 1000).cast("string"), F.substring("text", 61, 60)).alias("business_address"), F.col("lang").alias("country"))
+    return normalize(raw)

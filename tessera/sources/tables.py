@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import md5_mod
@@ -73,9 +73,38 @@ def integrity(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows, the same in every run: the first by a hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, the same in every run: the first by md5 of the key and the seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
-def countries(df: DataFrame) -> DataFrame:
-    return df.select("country").distinct()
+def audit_samples(records: DataFrame, truth: DataFrame, clusters: int = 400, distractors: int = 300, seed: int = 7) -> DataFrame:
+    """(kind, id): S1 with matches, and pool records without an owner, for reading by people."""
+    owned = truth.select(F.col("s1_id").alias("id")).distinct()
+    free = records.where("source <> 1").select(F.col("entity_id").alias("id")).join(truth.select(F.col("match_id").alias("id")), "id", "left_anti")
+    return hash_sample(owned, "id", clusters, seed).withColumn("kind", F.lit("cluster")).unionByName(hash_sample(free, "id", distractors, seed).withColumn("kind", F.lit("distractor")))
+
+
+def load_cache(parts: list[DataFrame]) -> DataFrame:
+    """Candidate caches of different versions as one: missing columns null, kmask from the low retriever bits where it is
+    missing, role flags from `role`."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if "kmask" not in out.columns:
+        out = out.withColumn("kmask", F.lit(None).cast("int"))
+    out = out.withColumn("kmask", F.coalesce("kmask", F.col("rbits").bitwiseAND(15)))
+    return out.withColumn("is_es", F.coalesce(F.col("role") == "es", F.lit(False))) if "role" in out.columns else out
+
+
+def numbered(df: DataFrame, key: str, name: str = "row", prefix: int = 6) -> DataFrame:
+    """df with row numbers from 0 in the order of a string key: numbers within a prefix of the key, plus the rows of all
+    smaller prefixes, so no task orders the whole table."""
+    df = df.withColumn("_p", F.substring(key, 1, prefix))
+    sizes = df.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_from"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return df.withColumn("_k", inside).join(starts, "_p").withColumn(name, F.col("_from") + F.col("_k")).drop("_p", "_k", "_from")
+
+
+def text_export(records: DataFrame, offset: int = 0) -> DataFrame:
+    """(row, text) for encoders: name and address joined, numbered from offset in id order, without entity ids."""
+    text = F.concat_ws(" | ", F.coalesce("n_core", F.lit("")), F.coalesce("a_full", F.lit("")))
+    return numbered(records, "entity_id").select((F.col("row") + offset).alias("row"), text.alias("text"))
