@@ -77,7 +77,7 @@ class Views:
     """The base relations over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.records = fixtures.drec(spark, sf_dir)
+        self.records = fixtures.drec(spark, sf_dir).persist()  # the normalized records, read by every retriever
         self.s1, self.pool = fixtures.split(self.records)
         self.spine = self.s1.select(F.col("entity_id").alias("s1_id"), "country")
         self.truth = fixtures.loose_truth(self.records)

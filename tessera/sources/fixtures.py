@@ -13,7 +13,9 @@ def drec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Letters beyond ASCII stand as "e": SQL engines differ in whether edit distance counts letters or bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
-    toks = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "e"), "[^a-z0-9]+"), lambda t: t != "")
+    # only the first thirteen words count, so the text is not split beyond them
+    words = F.filter(F.split(F.lower("text"), r"[\x00-\x7F&&[^a-z0-9]]+", 20), lambda t: t != "")
+    toks = F.transform(F.slice(words, 1, 13), lambda t: F.regexp_replace(t, r"[^\x00-\x7F]", "e"))
     cut = lambda a, n: F.array_join(F.slice("toks", a, n), " ")
     empty = F.col("doc_id") % 29 == 0
     out = docs.withColumn("toks", toks).select(
