@@ -108,3 +108,8 @@ def text_export(records: DataFrame, offset: int = 0) -> DataFrame:
     """(row, text) for encoders: name and address joined, numbered from offset in id order, without entity ids."""
     text = F.concat_ws(" | ", F.coalesce("n_core", F.lit("")), F.coalesce("a_full", F.lit("")))
     return numbered(records, "entity_id").select((F.col("row") + offset).alias("row"), text.alias("text"))
+
+
+def countries(df: DataFrame) -> DataFrame:
+    """The countries of a table, found in the data."""
+    return df.select("country").distinct()
