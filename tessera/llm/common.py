@@ -41,6 +41,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Gives a worker's free memory back to the system: workers stay, idle, beside those of the next stage."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -79,23 +90,26 @@ class Encoder(dict):
         if len(self) + len(pieces) > self.room:
             self.old = dict(self)
             self.clear()
-        old, tokenize = self.old.get, self.model.tokenize
+        old, tokenize, plain = self.old.get, self.model.tokenize, self.newline is not None
         for piece in pieces:
             ids = old(piece)
             if ids is None:
-                word = piece[1:] if piece[0] in " \n" else piece
-                if self.newline is None or not word.isalpha():
-                    ids = self[piece]
+                if plain and piece[0] == " " and piece.isascii() and (word := piece[1:]).isalpha():
+                    ids = array("I", [t.id for t in tokenize("Ġ" + word)]).tobytes()
                 else:
-                    shown = "Ġ" + word if piece[0] == " " else word
-                    if not word.isascii():
-                        shown = (" " + word if piece[0] == " " else word).encode().decode("latin-1").translate(BYTES)
-                    ids = array("I", [t.id for t in tokenize(shown)]).tobytes()
-                    if piece[0] == "\n":
-                        ids = self.newline + ids
+                    ids = self.other(piece)
             if len(piece) <= 40:
                 self[piece] = ids
 
+    def other(self, piece: str) -> bytes:
+        """A piece's ids, if it is not a space and an ASCII word."""
+        word = piece[1:] if piece[0] in " \n" else piece
+        if self.newline is None or not word.isalpha():
+            return self[piece]
+        shown = (" " + word if piece[0] == " " else word).encode().decode("latin-1").translate(BYTES)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self.newline + ids if piece[0] == "\n" else ids
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -104,8 +118,9 @@ class Encoder(dict):
         if None in out:
             missing = [k for k, ids in enumerate(out) if ids is None]
             self.learn({pieces[k] for k in missing})
+            now = self.__getitem__
             for k in missing:
-                out[k] = self[pieces[k]]
+                out[k] = now(pieces[k])
         return b"".join(out)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import default_tokenizer, encoder, small_batches
+from tessera.llm.common import default_tokenizer, encoder, small_batches, trim
 
 
 class Tournament:
@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
                 crcs = [zlib.crc32(ids[4 * k : 4 * (k + capacity)]) for k in range(0, full, capacity)]
                 out.append((n, crcs, ids if keep_ids else ids[4 * full :]))
             yield pd.concat([b[["doc_id", "grp"]], pd.DataFrame(out, columns=["n", "crcs", "ids"], index=b.index)], axis=1)
+        trim()
 
     def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["doc_id", "n", "ids"], kind="stable", ignore_index=True)

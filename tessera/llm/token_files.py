@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import default_tokenizer, encoder, new_path, small_batches
+from tessera.llm.common import default_tokenizer, encoder, new_path, small_batches, trim
 
 MAGIC = b"TSRPFOR1"
 HEAD = struct.Struct("<8sIQQQQ")
@@ -63,17 +63,24 @@ def bit_lengths(d: np.ndarray) -> np.ndarray:
 def encode_file(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], before: int = 0, percentile: float = 90) -> bytes:
     """One file's bytes for ids (uint32), the documents' ids and where each starts."""
     n = len(ids)
-    blocks = -(-n // BLOCK)
-    v = np.empty(blocks * BLOCK, np.uint32)
-    v[:n] = ids
-    if n:
-        v[n:] = ids[-1]
+    out: list[bytes] = []
+    for at in range(0, n, BLOCK * 256):  # a part at a time: the work on it takes several times its memory
+        out += _encode_blocks(ids[at : at + BLOCK * 256], percentile)
+    index = np.cumsum([0, *map(len, out)]).astype("<u8")
+    valid = np.array([x is not None for x in doc_ids], np.uint8)
+    return b"".join([HEAD.pack(MAGIC, BLOCK, n, len(out), len(doc_ids), before), index.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), valid.tobytes(), np.array(starts, "<u8").tobytes(), *out])
+
+
+def _encode_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
+    blocks = -(-len(ids) // BLOCK)
+    v = np.full(blocks * BLOCK, ids[-1], np.uint32)
+    v[: len(ids)] = ids
     v = v.reshape(blocks, BLOCK)
-    low = v.min(axis=1) if blocks else np.zeros(0, np.uint32)
+    low = v.min(axis=1)
     d = v - low[:, None]
     bits = bit_lengths(d)
     place = min(BLOCK - 1, int(np.ceil(percentile / 100 * BLOCK)) - 1)
-    width = np.partition(bits, place, axis=1)[:, place] if blocks else np.zeros(0, np.uint8)
+    width = np.partition(bits, place, axis=1)[:, place]
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
@@ -85,9 +92,7 @@ def encode_file(ids: np.ndarray, doc_ids: list[int | None], starts: list[int], b
         where = np.flatnonzero(over[k]).astype(np.uint16)
         high = (d[k, where] >> np.uint32(width[k])).astype(np.uint32)
         out.append(struct.pack("<IHH", low[k], width[k], len(where)) + packed[k] + where.tobytes() + high.tobytes())
-    index = np.cumsum([0, *map(len, out)]).astype("<u8")
-    valid = np.array([x is not None for x in doc_ids], np.uint8)
-    return b"".join([HEAD.pack(MAGIC, BLOCK, n, blocks, len(doc_ids), before), index.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), valid.tobytes(), np.array(starts, "<u8").tobytes(), *out])
+    return out
 
 
 def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray, int]:
@@ -162,6 +167,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
                     flush()
         if names:
             flush()
+        trim()
         yield pd.DataFrame(rows, columns=["part", "file", "n_docs", "n_ids"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))

@@ -154,7 +154,7 @@ def covered(rows, length):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"spread_over": 1, "shard_bytes": 3000, "unit_anchors": 20, "few": 0}])
+@pytest.mark.parametrize("how", [{}, {"spread_over": 1, "shard_bytes": 3000, "unit_anchors": 20, "few": 0, "hot": 1}])
 def test_suffix_dedup(docs, rows, none, how):
     want = Counter((i, *c) for (i, _), c in zip(rows, covered(rows, 200), strict=True))
     assert Counter(tuple(r) for r in suffix_dedup.dedup(docs, **how).collect()) == want
