@@ -389,13 +389,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dedup(docs: DataFrame, unit_anchors: int = 200_000, shard_bytes: int = 3_000_000, spread_over: int = 512, few: int = 100_000) -> DataFrame:
+def dedup(docs: DataFrame, unit_anchors: int = 200_000, shard_bytes: int = 3_000_000, spread_over: int = 512, few: int = 100_000, hot: int = 1000) -> DataFrame:
     """Every row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null is empty. A text that stands twice, of 200 bytes or more, goes whole; it still counts
     as a place of its strings for others. Texts below 200 bytes lose nothing. Repeated and null doc_ids are rows like
     others; an empty table gives no rows. `few` bounds the table of spread anchors that is broadcast; a larger one is
-    joined.
+    joined. A text of more than `hot` copies, and a ten-thousandth of all rows, is joined by broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -441,9 +441,13 @@ def dedup(docs: DataFrame, unit_anchors: int = 200_000, shard_bytes: int = 3_000
     cover = found.where("ctx IS NULL").select("sha", "raw").dropDuplicates(["sha"]).join(hits, "sha")
     cover = cover.mapInPandas(_cover, "sha string, n_removed long, n_spans long, kept_sha256 string")
 
-    # a text that stands twice is known from digests alone
-    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"))
-    out = rows.select("doc_id", "sha", "n_bytes").join(copies, "sha").join(cover, "sha", "left")
+    # a text that stands twice is known from digests alone; the few texts of very many copies (at most 10,000 digests,
+    # each of a ten-thousandth of the rows or more) are broadcast, so that none of them is one task's
+    least = max(hot, rows.count() // 10_000)
+    copies = _stored(rows.groupBy("sha").agg(F.count("*").alias("copies")), "dedup-copies")
+    named, many = rows.select("doc_id", "sha", "n_bytes"), F.broadcast(copies.where(F.col("copies") > least))
+    rest = named.join(many.select("sha"), "sha", "left_anti").join(copies, "sha").join(cover, "sha", "left")
+    out = rest.unionByName(named.join(many, "sha"), allowMissingColumns=True)
     twice = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     empty = F.lit(sha256(b"").hexdigest())
     return out.select(
