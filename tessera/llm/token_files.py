@@ -86,13 +86,12 @@ def _encode_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
         at = np.flatnonzero(width == w)
         for k, row in zip(at, _pack(d[at] & np.uint32((1 << int(w)) - 1), int(w)), strict=True):
             packed[k] = row.tobytes()
-    over = bits > width[:, None]
-    out = []
-    for k in range(blocks):
-        where = np.flatnonzero(over[k]).astype(np.uint16)
-        high = (d[k, where] >> np.uint32(width[k])).astype(np.uint32)
-        out.append(struct.pack("<IHH", low[k], width[k], len(where)) + packed[k] + where.tobytes() + high.tobytes())
-    return out
+    row, where = np.nonzero(bits > width[:, None])
+    high = (d[row, where] >> width[row].astype(np.uint32)).astype("<u4").tobytes()
+    place_bytes = where.astype("<u2").tobytes()
+    cuts = np.searchsorted(row, np.arange(blocks + 1)).tolist()
+    heads = zip(low.tolist(), width.tolist(), packed, cuts[:-1], cuts[1:], strict=True)
+    return [b"".join((struct.pack("<IHH", m, w, e - s), p, place_bytes[2 * s : 2 * e], high[4 * s : 4 * e])) for m, w, p, s, e in heads]
 
 
 def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray, int]:
@@ -107,19 +106,22 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray,
     valid = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
     starts = np.append(np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64), n)
     base = at + 17 * docs
-    heads = [struct.unpack_from("<IHH", data, base + p) for p in index[:-1]]
-    width = np.array([h[1] for h in heads], np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    starts_at = base + index[:-1]
+    heads = raw[starts_at[:, None] + np.arange(8)]
+    low, (width, extra) = heads[:, :4].copy().view("<u4")[:, 0], heads[:, 4:].copy().view("<u2").T.astype(np.int64)
     out = np.empty((blocks, BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         words = np.array([np.frombuffer(data, "<u4", LANES * int(w), base + index[k] + 8) for k in rows], np.uint32)
         out[rows] = _unpack(words.reshape(len(rows), LANES * int(w)), int(w))
-    for k, (low, w, extra) in enumerate(heads):
-        if extra:
-            p = base + index[k] + 8 + 4 * LANES * w
-            where = np.frombuffer(data, "<u2", extra, p)
-            out[k, where] |= np.frombuffer(data, "<u4", extra, p + 2 * extra) << np.uint32(w)
-        out[k] += np.uint32(low)
+    block = np.repeat(np.arange(blocks), extra)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(extra) - extra, extra)
+    at_exceptions = (starts_at + 8 + 4 * LANES * width)[block]
+    where = raw[(at_exceptions + 2 * nth)[:, None] + np.arange(2)].view("<u2")[:, 0]
+    high = raw[(at_exceptions + 2 * extra[block] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+    out[block, where] |= high << width[block].astype(np.uint32)
+    out += low[:, None]
     return out.reshape(-1)[:n], [int(i) if ok else None for i, ok in zip(ids, valid, strict=True)], starts, before
 
 
