@@ -303,8 +303,9 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
     key = left.select(F.explode("prefix").alias("shingle"), "id", "n").distinct()
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
     key = key.withColumn("class", F.explode(F.array(size_class, size_class + 1))).withColumn("key", F.xxhash64("shingle", "class"))
-    many = key.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in (0, 1)]).where("rows > 1")
-    many = many.groupBy("rows", "tokens", "m0", "m1").agg(F.min("key").alias("key")).select("key", "rows", "tokens")
+    many = key.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.min("id").alias("least"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in (0, 1)]).where("rows > 1")
+    many = many.groupBy("rows", "tokens", "least", "m0", "m1").agg(F.min("key").alias("key")).select("key", "rows", "tokens", "least")
+    many = written(many, "jaccard-shared")  # read plainly, so that a hot key of the join below can be split
     key = written(key.select("key", "shingle", "id", "n").join(many, "key"), "jaccard-keys")
     wanted = left.join(key.select("id").distinct(), "id").select("id", "digest", "shared", F.col("doc_id").alias("d"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "digest", "text", "shared")
@@ -312,8 +313,7 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
 
     # documents connected by shared shingles are a family; a family of up to `family` documents is one group instead of
     # the many of its shingles, which hold the same documents again and again
-    least = key.groupBy("key").agg(F.min("id").alias("least"))
-    chained = components(key.join(least, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    chained = components(key.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     sized = chained.join(key.select("id", "n").distinct(), "id").groupBy(F.col("comp").alias("key")).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     sized = sized.where(F.col("rows") <= family)
     member = chained.withColumnRenamed("comp", "key").join(sized, "key").join(key.select("id", "n").distinct(), "id")
