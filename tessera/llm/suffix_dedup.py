@@ -81,7 +81,8 @@ def anchors(parts: list[tuple[int, int, bytes]]) -> list[tuple[int, np.ndarray,
         if n > 0:
             p = pick[at : at + n]
             first = np.flatnonzero(np.diff(p, prepend=-1))
-            out.append((doc, h[p[first]], (first + offset).astype(np.uint32), np.diff(np.append(first, n)).astype(np.uint8)))
+            # minima are small numbers; times an odd number they are spread over the whole range again
+            out.append((doc, h[p[first]] * MIX, (first + offset).astype(np.uint32), np.diff(np.append(first, n)).astype(np.uint8)))
         at += len(data)
     return out
 
