@@ -11,8 +11,8 @@ from tessera.llm.common import written
 def components(links: DataFrame, labels: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """(id, comp) of every id in links (a, b): comp is the smallest id reachable. labels (id, comp) are where to start.
 
-    Each round joins neighbouring components to the smallest of them and halves the paths; the links between different
-    components shrink from round to round, and the work ends when there are none.
+    Each round joins neighbouring components to the smallest of them and follows the paths to their ends; the links between different
+    components shrink from round to round, and the work ends when there are none. Links left after the last round are an error.
     """
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if labels is None:
@@ -31,9 +31,19 @@ def components(links: DataFrame, labels: DataFrame | None = None, rounds: int =
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
         hook = written(hook, "component-hooks")
-        for _ in range(3):  # a hook's target may itself be hooked
-            above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+        while True:  # a hook's target may itself be hooked: labels must be ids that no hook moves
+            for _ in range(3):
+                hook = _jump(hook).select("id", F.coalesce("top", "up").alias("up"))
+            hook = written(hook, "component-hooks")
+            if _jump(hook).where("top <> up").isEmpty():
+                break
         labels = labels.join(hook.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
         labels = written(labels, "components")
+    else:
+        raise RuntimeError(f"links between components are left after {rounds} rounds")
     return labels
+
+
+def _jump(hook: DataFrame) -> DataFrame:
+    """Hooks (id, up) with the hook of their target, top."""
+    return hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left")
