@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, small_batches
 
-RULE_VERSION = "base+pem+prefix/1"
+RULE_VERSION = "base+pem+prefix/2"
 #: The base rules, in order, as the contract states them (fixed values).
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Rules that the scan adds: private key blocks, and tokens with a provider's prefix.
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+#: What follows a BEGIN line that has no END line: header lines, base64 lines, and a short last one. Line breaks may be
+#: escaped, as in JSON.
+BREAK = r"(?:\s|\\[rn])+"
+PEM_BODY = re.compile(rf"(?:{BREAK}[A-Za-z-]+:[ ][^\n\\]*)*(?:{BREAK}[A-Za-z0-9+/]{{32,}}={{0,2}}(?![A-Za-z0-9+/=]))+(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]{{1,31}}={{0,2}}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?")
 PREFIX = re.compile(r"(?:ghp|gho|ghs|xox[abpr]|sk|pk|glpat)[_-][A-Za-z0-9_-]{20,}")
 KINDS = ("assign", "access", "hex", "pem", "prefix")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -45,12 +49,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN" in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text)]
+        out += pem_spans(text)
     if any(p in text for p in ("ghp", "gho", "ghs", "xox", "sk", "pk", "glpat")):
         out += [(m.start(), 4, m.end()) for m in PREFIX.finditer(text)]
     return out
 
 
+def pem_spans(text: str) -> list[tuple[int, int, int]]:
+    """Private key blocks: from a BEGIN line to its END line if that is the next such line, else to the end of the
+    base64 lines that follow; without any, the BEGIN line."""
+    lines, out = list(PEM.finditer(text)), []
+    for k, m in enumerate(lines):
+        if m[1] == "BEGIN":
+            after = lines[k + 1] if k + 1 < len(lines) else None
+            if after and after[1] == "END" and after[2] == m[2]:
+                out.append((m.start(), 3, after.end()))
+            else:
+                body = PEM_BODY.match(text, m.end())
+                out.append((m.start(), 3, body.end() if body else m.end()))
+    return out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

@@ -332,3 +332,14 @@ def test_html_templates(spark):
     got = {r.page_id: r for r in html.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")).collect()}
     assert got[5].text == "Story number 5 of many" and got[100].text.startswith("Welcome") and got[101].text == "" and got[102].n_chars == 0 and len(got) == len(rows)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_private_key_blocks():
+    line = "QUJDRGVm" * 8
+    body = f"{line}\n{line}\nQUI="
+    for label in ("PRIVATE KEY", "RSA PRIVATE KEY"):
+        for text in (f"a -----BEGIN {label}-----\n{body}\n-----END {label}----- z", f"a -----BEGIN {label}-----\n{body}\nz and more", f"a -----BEGIN {label}-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nz"):
+            (start, kind, end), *rest = [s for s in secrets.added_spans(text) if s[1] == 3]
+            assert not rest and text[:start] == "a " and text[end:].strip()[0] == "z" and line not in text[end:]
+    two = f"-----BEGIN PRIVATE KEY----- is a line; words -----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    assert [two[s:e] for s, _, e in secrets.pem_spans(two)] == [two[:27], two[two.rindex("-----BEGIN") :]]
