@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, secrets, toxicity
 from tessera.llm.common import written
@@ -16,19 +17,42 @@ from tessera.llm.common import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row() -> Column:
+    """A row is known by a digest of its doc_id, null included, and its text: doc_ids may be null or repeated."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit("")))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not predict as toxic; its labels are those of sf_dir's table."""
-    scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = scores.where("predicted = 1").select("doc_id").distinct()
-    clean = docs.join(toxic, "doc_id", "left_anti")
-    return clean.select(*COLUMNS)
+    """Rows that the classifier does not predict as toxic; its labels are those of sf_dir's table.
+
+    Every row is decided by its own text: rows without a doc_id go if they are toxic, and a clean row stays though a
+    toxic one has the same doc_id. Repeated rows go or stay together.
+    """
+    docs = docs.withColumn("_row", row())
+    scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key="_row")
+    toxic = scores.where("predicted = 1").select("_row").distinct()
+    return docs.join(toxic, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join, the one whose doc_id names it."""
-    found = jaccard.jaccard_components(docs)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of the Jaccard join: of the smallest doc_id, a null one last; among rows of that doc_id
+    the one of the smallest digest; among identical rows one, by lang, source and n_chars. Rows without words are in no
+    component and all stay. A row stays though a copy of another row has its doc_id.
+    """
+    docs = docs.withColumn("_row", row())
+    found = jaccard.jaccard_components(docs, key="_row").where("n_shingles > 0")
+    rows = found.groupBy("class", "_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = written(rows, "near-duplicate-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = rows.groupBy("class").agg(F.min(order).alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    several = rows.join(kept.select("class", F.col("kept._row").alias("kept")), "class")
+    gone = several.where("_row <> kept").select("_row")
+    again = several.where("_row = kept AND n > 1").select("_row")
+    docs = docs.repartition("_row")
+    one = F.row_number().over(Window.partitionBy("_row").orderBy("lang", "source", "n_chars"))
+    first = docs.join(again, "_row", "left_semi").withColumn("_at", one).where("_at = 1")
+    single = docs.join(gone.unionByName(again), "_row", "left_anti")
+    return single.select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

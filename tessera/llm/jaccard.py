@@ -83,8 +83,8 @@ def from_six(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _units(docs: DataFrame, buckets: int, unit_tokens: int) -> DataFrame:
-    """Rows of two kinds. Documents (bucket -1): unit, at, doc_id, digest, n, n_low, rest, hot. Messages: unit, bucket,
+def _units(docs: DataFrame, buckets: int, unit_tokens: int, key: str | None = None) -> DataFrame:
+    """Rows of two kinds. Documents (bucket -1): unit, at, doc_id, digest, n, n_low, rest, key, hot. Messages: unit, bucket,
     low hashes with the documents that hold them, and hashes on HOT or more documents of the unit with their number."""
     limit = int(TOP >> np.uint64(16)) + 1
 
@@ -119,16 +119,16 @@ def _units(docs: DataFrame, buckets: int, unit_tokens: int) -> DataFrame:
             for b in range(buckets):
                 x, y = slice(cut[b], cut[b + 1]), slice(hot_cut[b], hot_cut[b + 1])
                 if x.stop > x.start or y.stop > y.start:
-                    rows.append((unit, b, 0, None, b"", 0, 0, b"", b"", six(t[x]), at[x].tobytes(), six(hot_t[y]), hot_n[y].astype(np.uint32).tobytes()))
+                    rows.append((unit, b, 0, None, b"", 0, 0, b"", None, b"", six(t[x]), at[x].tobytes(), six(hot_t[y]), hot_n[y].astype(np.uint32).tobytes()))
             meta, lows, held = [], [], 0
-            return pd.DataFrame(rows, columns=["unit", "bucket", "at", "doc_id", "digest", "n", "n_low", "rest", "hot", "low", "low_at", "hot_low", "hot_n"]).astype({"doc_id": "Int64"})
+            return pd.DataFrame(rows, columns=["unit", "bucket", "at", "doc_id", "digest", "n", "n_low", "rest", "key", "hot", "low", "low_at", "hot_low", "hot_n"]).astype({"doc_id": "Int64"})
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text, row in zip(b["doc_id"], b["text"], b["key"], strict=True):
                 s = shingles(text, words)
                 n, low = len(s), int(np.searchsorted(s, TOP))
                 rest = s[low : max(low, prefix_length(n))] if n else s
-                meta.append([len(meta), None if pd.isna(doc) else int(doc), digest(s), n, low, six(rest >> np.uint64(16))])
+                meta.append([len(meta), None if pd.isna(doc) else int(doc), digest(s), n, low, six(rest >> np.uint64(16)), row])
                 lows.append(s[:low])
                 held += low
                 if held >= unit_tokens:
@@ -136,8 +136,8 @@ def _units(docs: DataFrame, buckets: int, unit_tokens: int) -> DataFrame:
         if meta:
             yield flush()
 
-    schema = "unit long, bucket int, at int, doc_id long, digest binary, n int, n_low int, rest binary, hot binary, low binary, low_at binary, hot_low binary, hot_n binary"
-    return docs.select("doc_id", "text").mapInPandas(scan, schema)
+    schema = "unit long, bucket int, at int, doc_id long, digest binary, n int, n_low int, rest binary, key binary, hot binary, low binary, low_at binary, hot_low binary, hot_n binary"
+    return docs.select("doc_id", "text", (F.col(key) if key else F.lit(None).cast("binary")).alias("key")).mapInPandas(scan, schema)
 
 
 def _frequencies(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -279,17 +279,19 @@ def _blocks(rows: int, tokens: int) -> F.Column:
     return F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("tokens") / tokens)).cast("int")
 
 
-def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int = 128, tokens: int = 60_000, family: int = 16_384) -> DataFrame:
+def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int = 128, tokens: int = 60_000, family: int = 16_384, key: str | None = None) -> DataFrame:
     """Every row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable over links of Jaccard similarity 0.8 or more, itself included. Texts
     null or without words have no shingles and their own doc_id; texts of fewer than five words have one shingle, the
     whole. Equal sets are one class and linked, however many rows have them. Null doc_ids are members, but never a
-    component's name unless it has no other. Repeated rows give repeated rows; an empty table gives none.
+    component's name unless it has no other. Repeated rows give repeated rows; an empty table gives none. key names a binary
+    column of docs that goes along with each row, with the row's class: rows of one component, and no others, share one.
     """
     small_batches(docs.sparkSession)
     buckets = int(min(1 << 20, max(256, docs.count() // 1000)))
-    units = written(_units(docs, buckets, unit_tokens), "jaccard-units")
+    units = written(_units(docs, buckets, unit_tokens, key), "jaccard-units")
+    name = key
     meta = units.where("bucket < 0").select("unit", "at", "doc_id", "digest", "n", "n_low", "rest", "hot")
     messages = units.where("bucket >= 0").select("unit", "bucket", "low", "low_at", "hot_low", "hot_n")
     replies = messages.groupBy("bucket").applyInPandas(_frequencies, "unit long, keys binary, key_at binary, hot_keys binary")
@@ -350,11 +352,11 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
     labels = components(more, labels)
 
     classes = left.select("digest", "id").join(labels, "id").select("digest", F.col("comp"))
-    named = meta.select("doc_id", "digest", "n").join(classes, "digest", "left")
+    named = units.where("bucket < 0").select("doc_id", "digest", "n", "key").join(classes, "digest", "left")
     named = named.withColumn("class", F.when(F.col("comp").isNotNull(), F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(F.hex("digest")))
     least = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("key").alias(name), "class"] if name else []))
 
 
 def _joined(group: DataFrame, sets: DataFrame) -> DataFrame:

@@ -187,16 +187,18 @@ def fit_linear(features: list[np.ndarray], size: int, target: np.ndarray, ridge:
     return w, float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000, key: str | None = None) -> DataFrame:
     """A score for every row of docs (doc_id, text): doc_id, held_out, score, predicted, votes, posterior.
 
     At most `train_rows` labelled rows that are not held out teach the lexicon and the classifier; vote patterns are
     counted over all documents. A pattern is 14 bits, so the driver gets at most 3 * 2**14 counts. labels (doc_id,
     toxic); a document labelled twice counts as toxic if either label says so. Null and empty texts get the score of no
     evidence. Repeated rows are scored each. Without labels of both classes the label model's posterior is the score.
+    key names a binary column of docs that goes along with each row, as the last column.
     """
     small_batches(docs.sparkSession)
     sample = F.broadcast(training_labels(labels, train_rows))  # train_rows rows of two numbers at most
+    extra, kind = ([key], f", {key} binary") if key else ([], "")
     lexicon = learn_lexicon(docs.select("doc_id", "text").join(sample, "doc_id"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +208,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000)
                 words = words_of(text)
                 features = lexicon.features(words)
                 found.append((votes(text, words, features), features))
-            yield pd.concat([b[["doc_id"]], pd.DataFrame(found, columns=["votes", "features"], index=b.index)], axis=1)
+            yield pd.concat([b[["doc_id"]], pd.DataFrame(found, columns=["votes", "features"], index=b.index), b[extra]], axis=1)
 
-    seen = docs.select("doc_id", "text").mapInPandas(look, "doc_id long, votes int, features array<int>")
+    seen = docs.select("doc_id", "text", *extra).mapInPandas(look, f"doc_id long, votes int, features array<int>{kind}")
     seen = written(seen, "toxicity-votes")
     state = F.coalesce(F.col("toxic"), F.lit(-1)).alias("state")
     counts = seen.join(sample, "doc_id", "left").groupBy("votes", state).agg(F.count("*").alias("n")).toPandas()
@@ -233,7 +235,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000)
                 known = len(w) - len(VOTERS)
                 z = bits @ w[known:] + bias + np.array([w[np.asarray(f, np.int64)].sum() for f in b["features"]])
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "votes": b["votes"], "posterior": posterior})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "votes": b["votes"], "posterior": posterior} | {c: b[c] for c in extra})
 
-    out = seen.mapInPandas(rate, "doc_id long, score double, votes int, posterior double")
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "votes", "posterior")
+    out = seen.mapInPandas(rate, f"doc_id long, score double, votes int, posterior double{kind}")
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "votes", "posterior", *extra)
