@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, written
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
@@ -190,6 +190,11 @@ def main_text(page: str, template: frozenset[bytes] = frozenset()) -> str:
     tops, maybe = candidates(page) if template else (roots(parse(page)), [])
     for node in maybe:
         node.kept = node.hash not in template
+    return text_of(tops)
+
+
+def text_of(tops: list[Node]) -> str:
+    """The text of what is kept below tops."""
     blocks: list[str] = []
     text: list[str] = []
 
@@ -220,19 +225,24 @@ def main_text(page: str, template: frozenset[bytes] = frozenset()) -> str:
 
 
 def site_templates(pages: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:
-    """Hashes of subtrees that stand on at least `least` pages and on `share` of the pages of a host, as an array for
-    each host. A page with E elements adds E hashes, so a host has at most E / share of them, however many pages."""
+    """Hashes of subtrees that stand on at least `least` page bodies and on `share` of the page bodies of a host, as an
+    array for each host. Pages of one main text are one body, that of the least structure: copies of a page count once,
+    however many they are. A page with E elements adds E hashes, so a host has at most E / share of them."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for host, page in zip(b["host"], b["html"], strict=True):
-                out += [(host, h) for h in {n.hash for n in candidates(page)[1]}]
-            yield pd.DataFrame(out, columns=["host", "h"])
+                tops, maybe = candidates(page)
+                body = hashlib.blake2b(text_of(tops).encode(errors="replace"), digest_size=16).digest()
+                out.append((host, body, sorted({n.hash for n in maybe})))
+            yield pd.DataFrame(out, columns=["host", "body", "hs"])
 
     rows = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.mapInPandas(hashes, "host string, h binary").groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    bodies = rows.mapInPandas(hashes, "host string, body binary, hs array<binary>").groupBy("host", "body").agg(F.min("hs").alias("hs"))
+    bodies = written(bodies, "html-bodies")
+    sizes = bodies.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = bodies.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     many = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
     return many.groupBy("host").agg(F.collect_list("h").alias("template"))
 

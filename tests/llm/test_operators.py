@@ -334,6 +334,16 @@ def test_html_templates(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_are_one_page(spark):
+    """40 copies of a page and 20 of an article on a host of 100 rows are no template."""
+    page = lambda k: f"<html><head><title>{k}</title></head><body><div><p>Welcome to our site</p></div><div><p>Story number {k} of many</p></div></body></html>"
+    article = lambda k: f"<html><body><article><h1>Head {k}</h1><div class='text'><div>Lead {k}</div><table><tr><td>cell {k}</table></div></article></body></html>"
+    pages = [page(k) for k in range(20)] + [page(7)] * 39 + [article(k) for k in range(20)] + [article(3)] * 20
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(k, f"https://a.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "Story number 7 of many" for k in [7, *range(20, 59)])
+    assert got[1] == "Story number 1 of many" and all(got[k] == "Head 3\nLead 3\ncell 3" for k in [62, *range(79, 99)])
+
+
 def test_private_key_blocks():
     line = "QUJDRGVm" * 8
     body = f"{line}\n{line}\nQUI="
