@@ -47,7 +47,7 @@ def j3_tune(spark, d):
 
 @query("j5_expected_f05", "s1_id:s cand_id:s k:i expected:d")
 def j5(spark, d):
-    return decision.expected_f05_matches(Views(spark, d).assigned)
+    return decision.expected_f05_matches(Views(spark, d, whole=True).assigned)
 
 
 def _flagged(v: Views):
@@ -156,7 +156,7 @@ def m2_count(spark, d):
 
 @query("m4_bootstrap", "delta:d low:d high:d p_not_better:d")
 def m4(spark, d):
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     return metrics.paired_bootstrap(metrics.entity_scores(decision.threshold(v.assigned, 0.8), v.truth, v.spine), scores(v), 200)
 
 
@@ -276,7 +276,7 @@ FEATURES = ["name_sim", "addr_sim", "house_rel", "num_jacc", "extra_tok", "missi
 @query("n1_gbt", "s1_id:s cand_id:s prob:d")
 def n1(spark, d):
     """Boosted trees on the built-in features, scored on their own rows."""
-    rows = _numeric(Views(spark, d)).persist()
+    rows = _numeric(Views(spark, d, whole=True)).persist()
     return models.score(models.train_gbt(rows, FEATURES, rounds=10, depth=3), rows)
 
 
@@ -284,14 +284,14 @@ def n1(spark, d):
 def n6(spark, d):
     from tessera.operators.features import label
 
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     rows = label(v.preds, v.truth).withColumn("y", F.col("label").cast("double")).persist()
     return models.calibrate(rows, rows)
 
 
 @query("n7_stack", "s1_id:s cand_id:s prob:d")
 def n7(spark, d):
-    rows = _numeric(Views(spark, d)).persist()
+    rows = _numeric(Views(spark, d, whole=True)).persist()
     return models.stack(rows, rows, ["name_sim", "addr_sim"])
 
 
@@ -301,7 +301,7 @@ def d1(spark, d):
     from tessera.functions.similarity import register
 
     register(spark)
-    Views(spark, d).pairs.createOrReplaceTempView("similarity_pairs")
+    Views(spark, d, whole=True).pairs.createOrReplaceTempView("similarity_pairs")
     return spark.sql("SELECT s1_id, cand_id, token_set_ratio(n_core, n_core_c) AS tset, partial_ratio(n_core, n_core_c) AS partial FROM similarity_pairs")
 
 
@@ -315,14 +315,14 @@ def m17(spark, d):
 
 @query("m13_loco", "trained_on:s tested_on:s t_source:d f_source:d t_target:d f_target:d")
 def m13(spark, d):
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     rows = _numeric(v).join(v.spine, "s1_id").persist()
     return evaluation.loco(rows, FEATURES, v.truth, v.spine, ["en", "fr"], rounds=3, depth=2)
 
 
 @query("m14_adversarial", "auc:d")
 def m14(spark, d):
-    rows = _numeric(Views(spark, d)).persist()
+    rows = _numeric(Views(spark, d, whole=True)).persist()
     auc = evaluation.adversarial_auc(rows.where("cand_src = 0"), rows.where("cand_src = 1"), [f for f in FEATURES if f != "cand_src"], folds=2, rounds=3, depth=2)
     return spark.createDataFrame([(auc,)], "auc double")
 
@@ -335,5 +335,5 @@ def m14_quantiles(spark, d):
 
 @query("m15_templated_streets", "s1_id:s cand_id:s street_sim:d")
 def m15(spark, d):
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     return evaluation.templated_streets(v.pairs, v.s1, 0.02)

@@ -108,12 +108,12 @@ def h_rank_gap(spark, d):
 @query("h_similarities", "s1_id:s cand_id:s name_tset:d name_tsort:d name_ratio:d name_partial:d comp_jw:d comp_partial:d alias_tset:d addr_tset:d addr_ratio:d street_tset:d")
 def h_similarities(spark, d):
     """D1 to D5 on pairs."""
-    return features.similarities(Views(spark, d).pairs)
+    return features.similarities(Views(spark, d, whole=True).pairs)
 
 
 @query("h_featurize", "s1_id:s cand_id:s name_tset:d addr_tset:d house_rel:i num_jacc:d name_rank_in_s1:i name_gap_s1:d n_cand_s1:i")
 def h_featurize(spark, d):
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     return features.featurize(v.candidates, v.s1, v.pool)
 
 
@@ -218,7 +218,7 @@ def i7(spark, d):
     """All context groups with the token-set similarity of names."""
     from tessera.functions.similarity import udf
 
-    v = Views(spark, d)
+    v = Views(spark, d, whole=True)
     p = v.pairs.withColumn("name_tset", udf("token_set_ratio")("n_core", "n_core_c"))
     return context.add_features(p, context.split_context(v.s1, v.pool), ("G1", "G2", "G3", "G4", "G5", "G6"), 4)
 

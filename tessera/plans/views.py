@@ -74,9 +74,11 @@ scores AS (SELECT n.s1_id, n.country, n.n_true, coalesce(h.n_pred, 0) AS n_pred,
 
 
 class Views:
-    """The base relations over one folder of tables."""
+    """The base relations over one folder of tables. With whole, the base pairs are those of all exact-key retrievers at
+    their own caps, for queries without SQL; else those of PAIRS."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.whole = whole
         self.records = fixtures.drec(spark, sf_dir).persist()  # the normalized records, read by every retriever
         self.s1, self.pool = fixtures.split(self.records)
         self.spine = self.s1.select(F.col("entity_id").alias("s1_id"), "country")
@@ -84,6 +86,8 @@ class Views:
 
     @property
     def candidates(self) -> DataFrame:
+        if self.whole:
+            return blocking.candidates(self.s1, self.pool).select("s1_id", "cand_id")
         return blocking.key_join(self.s1, self.pool, F.coalesce(F.get(F.split("n_core", " "), F.lit(0)), F.lit("")), CAP)
 
     @property
