@@ -31,9 +31,14 @@ def confirm(base: DataFrame, last: DataFrame, truth: DataFrame, spine: DataFrame
 
 def loco(rows: DataFrame, features: list[str], truth: DataFrame, spine: DataFrame, countries: list[str], **how) -> DataFrame:
     """(trained_on, tested_on, t_source, f_source, t_target, f_target): models of one country scored on each country, at
-    the threshold tuned on the training country and at the one tuned on the tested country."""
+    the threshold tuned on the training country and at the one tuned on the tested country. A country whose rows do not
+    have both labels trains no model: its cells are there, with nulls."""
     out = []
+    both = {r.country for r in rows.groupBy("country").agg(F.countDistinct("label").alias("n")).where("n = 2").collect()}
     for a in countries:
+        if a not in both:
+            out += [(a, b, None, None, None, None) for b in countries]
+            continue
         model = models.train_gbt(rows.where(F.col("country") == a), features, **how)
         curves = {}
         for b in countries:

@@ -8,6 +8,7 @@ from tessera.operators import decision, evaluation, metrics, models, robust
 from tessera.plans.records import UNIT
 from tessera.plans.registry import query
 from tessera.plans.views import PAIRS, RECORDS, SCORES, Views, f05_sql, key, tok
+from tessera.sources import tables
 
 WP = f"WITH {PAIRS}"
 WS = f"WITH {SCORES}"
@@ -317,7 +318,8 @@ def m17(spark, d):
 def m13(spark, d):
     v = Views(spark, d, whole=True)
     rows = _numeric(v).join(v.spine, "s1_id").persist()
-    return evaluation.loco(rows, FEATURES, v.truth, v.spine, ["en", "fr"], rounds=3, depth=2)
+    countries = sorted(r.country for r in tables.countries(v.spine).collect() if r.country is not None)
+    return evaluation.loco(rows, FEATURES, v.truth, v.spine, countries, rounds=3, depth=2)
 
 
 @query("m14_adversarial", "auc:d")

@@ -27,3 +27,9 @@ def test_large_groups_keep_their_pairs(spark, copies, name):
     got = {(r.s1_id, r.cand_id) for r in QUERIES[name](spark, copies).collect()}
     want = {(f"S1-{a}", f"S{1 + b % 3}-{b}") for lo in (0, 30) for a in range(lo, lo + 30, 3) for b in range(lo, lo + 30) if b % 3}
     assert want <= got
+
+
+def test_every_country_is_left_out_once(spark, copies):
+    got = QUERIES["m13_loco"](spark, copies).collect()
+    assert {(r.trained_on, r.tested_on) for r in got} == {(a, b) for a in ("en", "it", "pt") for b in ("en", "it", "pt")} and len(got) == 9
+    assert all(r.f_target is None and r.t_source is None for r in got if r.trained_on == "pt")
