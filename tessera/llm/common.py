@@ -23,16 +23,26 @@ BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b f
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, where driver and executors are
+    one machine, a folder of our own does where that is unset; a cluster without the setting is an error. A path without a
+    scheme is one of the cluster's default file system."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             path = jvm.get()
-        else:
-            path = tempfile.mkdtemp(prefix="tessera-")
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
             spark.sparkContext.setCheckpointDir(path)
-    return path if re.match(r"\w+:/", path) else f"file://{path}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return path if re.match(r"\w+:/", path) else _hadoop(spark, path)[0].makeQualified(_hadoop(spark, path)[1]).toString()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path's file system and Hadoop's path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -61,7 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, read again. Survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a written() result, once nothing that is still to run reads it."""
+    fs, path = _hadoop(df.sparkSession, df.written_to)
+    fs.delete(path, True)
 
 
 class Encoder(dict):
