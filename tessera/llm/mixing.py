@@ -6,6 +6,8 @@ so their number is a matter of configuration; more than `max_sources` raises) an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +37,31 @@ def targets(sizes: list[int], weights: tuple[int, ...] = (5, 2, 1), most: float
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n items drawn without replacement from good + bad are good, at any size.
+
+    Probabilities follow from their ratios on both sides of the mode; beyond 12 standard deviations and 60 they are below
+    what a double holds, so no more of the range is looked at.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))
+    reach = int(12 * spread) + 60
+    x = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    up = (good - x[:-1]) * (n - x[:-1]) / ((x[:-1] + 1) * (bad - n + x[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(up))])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return int(x[min(len(x) - 1, np.searchsorted(sums, rng.random() * sums[-1], "right"))])
+
+
 def split_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Exact blocks of each source for each output shard: (shards, sources).
 
-    A node of the tree holds a range of shards and its blocks by source; a multivariate hypergeometric draw gives the
-    left half its share of the node's blocks, without replacement, so that every block has one shard.
+    A node of the tree holds a range of shards and its blocks by source; a multivariate hypergeometric draw, source by
+    source, gives the left half its share of the node's blocks, without replacement, so that every block has one shard.
     """
     out = np.zeros((shards, len(counts)), np.int64)
 
@@ -47,15 +69,13 @@ def split_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
         if high - low == 1:
             out[low] = held
             return
-        mid, total = (low + high) // 2, int(held.sum())
+        mid, rest = (low + high) // 2, int(held.sum())
         rng = np.random.default_rng([seed, low, high])
-        n = total * (mid - low) // (high - low)
-        if total < 10**9:
-            left = rng.multivariate_hypergeometric(held, n, method="marginals")
-        else:  # numpy's limit; the expected split, rounded by largest remainder, is exact in its sums
-            part = held * (n / total)
-            left = np.floor(part).astype(np.int64)
-            left[np.argsort(left - part, kind="stable")[: n - int(left.sum())]] += 1
+        n, left = rest * (mid - low) // (high - low), np.zeros_like(held)
+        for k, mine in enumerate(held.tolist()):
+            rest -= mine
+            left[k] = hypergeometric(rng, mine, rest, n)
+            n -= int(left[k])
         split(low, mid, left)
         split(mid, high, held - left)
 
@@ -77,13 +97,14 @@ def fill(rows: DataFrame, group: str, order: list, size: str, passes: int) -> Da
     return rows.drop("_sum", "_now")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_docs: int = 64, max_blocks: int = 65_536, max_sources: int = 100_000, passes: int = 4, seed: int = 23) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_docs: int = 64, max_sources: int = 100_000, passes: int = 4, seed: int = 23) -> DataFrame:
     """The mix of docs (doc_id, text, source): a row for each document.
 
     Columns: doc_id, size (words), source, source_size, target, taken (words taken, repeats counted), copies (whole
     repeats: an array of the output shard of each) and place (order within a shard). Sources are ordered by code
-    point, null last, and weigh `weights` in turn. Each source is cut into blocks by a hash of the document. Where a
-    source's target is r times its size, all its blocks are taken floor(r) times and a permuted prefix of them once
+    point, null last, and weigh `weights` in turn. Each source is cut into blocks by a hash of the document: of
+    `block_docs` documents, or of the root of their number where that is more, so that neither a source's blocks nor the
+    documents of one block are ever more than one task's. Where a source's target is r times its size, all its blocks are taken floor(r) times and a permuted prefix of them once
     more, and the next three blocks are resolved by document. The taken blocks are split among the shards by
     split_quotas, dealt disjointly in permuted order, and shuffled locally by `place`.
 
@@ -102,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     for k, r in enumerate(found):
         ratio = wanted[k] / r.source_size if r.source_size else 0.0
         whole = min(int(ratio + 1e-12), int(most))
-        plan.append((k, r.source, r.source_size, wanted[k], whole, wanted[k] - whole * r.source_size, max(1, min(max_blocks, -(-r.docs // block_docs)))))
+        plan.append((k, r.source, r.source_size, wanted[k], whole, wanted[k] - whole * r.source_size, max(1, -(-r.docs // max(block_docs, math.isqrt(r.docs))))))
     plan_schema = "sid int, source string, source_size long, target double, whole int, rest double, blocks int"
     by_source = spark.createDataFrame(plan, plan_schema)
 
@@ -139,11 +160,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: docs' rows, repeated as the mix takes them, with columns mix_shard and mix_place.
 
-    Rows that agree in doc_id and text have the same decision.
+    Rows that agree in doc_id, text and source have the same decision. Other columns may have any names; columns that are
+    called mix_shard and mix_place already are replaced.
     """
     took = mix(docs, **how).groupBy("doc_id", "source", "place").agg(F.first("copies").alias("copies")).where(F.size("copies") > 0)
     took = took.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "place", F.explode("copies").alias("mix_shard"))
     seed = how.get("seed", 23)
-    left = docs.withColumn("_place", F.xxhash64(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit("place")))
-    on = (left["_place"] == took["place"]) & left["doc_id"].eqNullSafe(took["_id"]) & left["source"].eqNullSafe(took["_source"])
-    return left.join(took, on).select(*[left[c] for c in docs.columns], "mix_shard", F.col("place").alias("mix_place"))
+    left = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit("place")).alias("_place"))
+    on = (F.col("_place") == F.col("place")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("mix_shard", "mix_place")]
+    return left.join(took, on).select(*kept, "mix_shard", F.col("place").alias("mix_place"))
