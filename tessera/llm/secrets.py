@@ -92,7 +92,8 @@ def scan_new(docs: DataFrame, ledger: str, version: str = RULE_VERSION) -> DataF
     it, and returns the version's ledger: blob and findings.
 
     One document stands for each unseen blob: the smallest (doc_id, hash), found from digests alone, so that only
-    those texts move. A null text is the empty blob.
+    those texts move. A null text is the empty blob. Two scans that add to a ledger at once may both add a blob: a ledger
+    that holds a blob twice is read with one row of each.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -108,7 +109,12 @@ def scan_new(docs: DataFrame, ledger: str, version: str = RULE_VERSION) -> DataF
     texts = blobs.join(wanted, ["id", "blob"]).select("blob", "text", "id")
     fresh = texts.mapInPandas(_scan, f"blob string, {FOUND}").dropDuplicates(["blob"])  # repeated rows of one doc_id
     fresh.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(ledger)
-    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).drop("version")
+    known = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).drop("version")
+    if there:
+        n = known.agg(F.count("*").alias("rows"), F.countDistinct("blob").alias("blobs")).first()
+        if n.rows > n.blobs:
+            known = known.dropDuplicates(["blob"])
+    return known
 
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, version: str = RULE_VERSION) -> DataFrame:
@@ -126,10 +132,10 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, version: str = RULE
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by a mark; overlapping spans by one. n_chars, if there, follows the text.
 
-    Other columns and the number of rows stay; null texts stay null.
+    Other columns, whatever their names, and the number of rows stay; null texts stay null.
     """
     ledger = ledger or new_path(docs.sparkSession, "blob-ledger")
-    found = scan_new(docs, ledger).where(F.size("cuts") > 0).select(F.col("blob").alias("_blob"), F.col("cuts").alias("_cuts"))
+    found = scan_new(docs, ledger).where(F.size("cuts") > 0).select("blob", "cuts")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -145,8 +151,9 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
             out.append(text)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.join(found, F.col("_sha") == F.col("_blob"), "left").withColumn("text", cut("text", "_cuts"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return rows.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(rest.alias("row"), F.col("text").alias("old"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    rows = rows.join(found, "blob", "left").select("row", "cuts", cut("old", "cuts").alias("new"))
+    now = {"text": F.col("new"), "n_chars": F.when(F.col("cuts").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("new").cast("long"))}
+    return rows.select(*[(now[c] if c in now else F.col("row")[c]).alias(c) for c in docs.columns])
