@@ -108,7 +108,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     to about count / group_docs groups and each group is packed alone, so a lost executor costs its groups only and a
     group's memory is bounded by the ids of its documents. Full sequences of long documents travel as checksums; only
     the rests travel as ids unless keep_ids. Null texts are empty: they hold end_id alone. Repeated rows are packed
-    each; an empty table gives no rows. Reruns agree.
+    each, and dealt to different groups by their place in the table; an empty table gives no rows. Reruns over the same
+    files agree.
     """
     tokenizer = tokenizer or default_tokenizer()
     end = np.uint32(end_id).tobytes()
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         out.insert(0, "doc_id", b["doc_id"].take(out.pop("doc")).array)
         return out if keep_ids else out.drop(columns="ids")
 
-    rows = docs.select("doc_id", "text").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
+    rows = docs.select("doc_id", "text").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)))
     rows = rows.mapInPandas(tokens, "doc_id long, grp long, n long, crcs array<long>, ids binary")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return rows.groupBy("grp").applyInPandas(packed, schema + ", ids binary" * keep_ids)
