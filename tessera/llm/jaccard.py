@@ -354,7 +354,8 @@ def jaccard_components(docs: DataFrame, unit_tokens: int = 1_000_000, rows: int
     classes = left.select("digest", "id").join(labels, "id").select("digest", F.col("comp"))
     named = units.where("bucket < 0").select("doc_id", "digest", "n", "key").join(classes, "digest", "left")
     named = named.withColumn("class", F.when(F.col("comp").isNotNull(), F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(F.hex("digest")))
-    least = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    named = written(named, "jaccard-named")  # plain tables on both sides: a hot class of the join can be split
+    least = written(named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = named.join(least, "class", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("key").alias(name), "class"] if name else []))
 
