@@ -421,7 +421,10 @@ def dedup(docs: DataFrame, unit_anchors: int = 200_000, shard_bytes: int = 3_000
     many = many.select("h", F.ceil(F.col("c") / spread_over).cast("int").alias("ways"))
     if many.limit(few + 1).count() <= few:
         many = F.broadcast(many)  # at most `few` rows of 12 bytes
-    contexts = contexts.join(many, "h", "left").withColumn("spread", F.col("ways").isNotNull())
+    # contexts of frequent anchors are counted where they are before they travel: one common passage is a row for each task
+    hot_ones = contexts.join(many, "h").groupBy("ctx").agg(F.first("h").alias("h"), F.sum("n").alias("n"), F.first("raw").alias("raw"), F.first("ways").alias("ways"))
+    contexts = contexts.join(many, "h", "left_anti").withColumn("ways", F.lit(None).cast("int")).unionByName(hot_ones)
+    contexts = contexts.withColumn("spread", F.col("ways").isNotNull())
     way = F.when(F.col("spread"), F.pmod(F.xxhash64("ctx"), F.col("ways"))).otherwise(F.lit(0))
     contexts = contexts.withColumn("shard", F.pmod(F.xxhash64("h", way), F.lit(shards)))
     sorted_ = contexts.groupBy("shard").applyInPandas(_shard(buckets), "ctx binary, bits binary, bucket long")
