@@ -2,7 +2,8 @@
 
 Every page is parsed into a tree of elements. A subtree's hash covers its tags, classes and text; Spark counts on how
 many pages of a host each hash stands, and subtrees that recur on many of them are the site's template and go. Element
-roles (nav, footer, aside, form ..., or a class that names such a role) remove what differs from page to page.
+roles (nav, footer, aside, form ..., or a class that names such a role) remove what differs from page to page; an element
+that holds a main, the longest article or most of the page's text is the page's frame, whatever its class says.
 """
 
 from __future__ import annotations
@@ -39,20 +40,25 @@ ENDS = {
 }
 DROP = frozenset("head nav footer aside form script style textarea title noscript template iframe noembed noframes select button input dialog object svg canvas audio video map menu".split())
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words of a class or id that name a part which is not the article.
+#: Words of a class or id that name a part which is not the article, and words that say no more beside them.
+BESIDE = frozenset("area bar block bottom box button buttons container content form group holder inner item items left link links list message panel posts right row section site slot strip text title top unit widget wrap wrapper x".split())
 PART = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar share sharing social comment comments reply replies respond disqus related recommended newsletter subscribe subscription signup popup modal overlay widget pagination pager toolbar login search skip".split()
 )
+#: Tags that frame a page as well as parts of it.
+FRAME = frozenset(["form", "dialog", "header"])
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption b i em strong a span code u s sub sup small br hr img".split())
+COMMENTS = re.compile(r"\b(?:comments?|reply|replies|respond|disqus)\b", re.I)
+NAMED = re.compile(r"\b(?:class|id)\s*=", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    __slots__ = ("tag", "parts", "kept", "hash", "up", "label")
+    __slots__ = ("tag", "parts", "kept", "hash", "up", "label", "frame")
 
     def __init__(self, tag: str, up: Node | None, label: str = ""):
-        self.tag, self.up, self.label, self.parts, self.kept, self.hash = tag, up, label, [], True, b""
+        self.tag, self.up, self.label, self.parts, self.kept, self.hash, self.frame = tag, up, label, [], True, b"", False
 
 
 def parse(page: str) -> Node:
@@ -121,26 +127,49 @@ def attributes(label: str) -> dict[str, str]:
     return out
 
 
+def named_part(names: str) -> bool:
+    """Whether a whole name of a class or id list is made of PART's words, and of BESIDE's at most."""
+    for name in names.split():
+        words = re.findall("[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if not PART.isdisjoint(words) and all(w in PART or w in BESIDE for w in words):
+            return True
+    return False
+
+
 def is_part(node: Node, inside: bool) -> bool:
     """Whether an element's tag, role, class or id says that it is not of the article."""
     tag = node.tag
     if tag in DROP or tag == "header" and not inside:
-        return True
-    if not node.label or tag in ("html", "body", "main"):
+        return not (node.frame and tag in FRAME)
+    if not node.label or node.frame or tag in ("html", "body", "main"):
         return False
     a = attributes(node.label)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     if a.get("role", "").lower() in ROLE:
         return True
-    if tag in TEXT_TAGS or tag == "article" and not inside:
-        return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
-    return not PART.isdisjoint(re.split(r"[^a-z]+", names))
+    return not (tag == "article" and not inside) and named_part(f"{a.get('class', '')} {a.get('id', '')}")
+
+
+def mark_frames(root: Node) -> None:
+    """Marks what holds a main or the longest article, and what has more than half of the page's text; raw text and that of
+    DROP's tags do not count."""
+    order, size = walk(root), {}
+    for node in reversed(order):
+        own = sum(size[id(x)] if isinstance(x, Node) else len(x) - x.count(" ") for x in node.parts)
+        size[id(node)] = 0 if node.tag in DROP and node.tag not in FRAME else own
+    articles = [n for n in order if n.tag == "article"]
+    for node in [n for n in order if n.tag == "main"] + ([max(articles, key=lambda n: size[id(n)])] if articles else []):
+        while (node := node.up) is not None and not node.frame:
+            node.frame = True
+    for node in order:
+        if 2 * size[id(node)] > size[id(root)] and not (node.label and COMMENTS.search(node.label)):
+            node.frame = True
 
 
 def roots(root: Node) -> list[Node]:
-    """The outermost articles, else mains, else the whole page."""
+    """The outermost articles, else mains, else the whole page; frames are marked."""
+    mark_frames(root)
     for wanted in ("article", "main"):
         out, todo = [], [root]
         while todo:
@@ -170,8 +199,8 @@ def walk(root: Node) -> list[Node]:
 
 
 def candidates(page: str) -> tuple[list[Node], list[Node]]:
-    """Where the main text is, and the hashed elements there that may be template: containers, and outside of an
-    article anything. Text elements of an article are never template: passages may recur there."""
+    """Where the main text is, and the hashed elements there that may be template. Hashes of text elements in an article
+    that have neither class nor id begin with 1: passages may recur there."""
     tops, out = roots(parse(page)), []
     for top in tops:
         article = top.tag in ("article", "main")
@@ -179,8 +208,8 @@ def candidates(page: str) -> tuple[list[Node], list[Node]]:
             h = hashlib.blake2b(f"{node.tag} {node.label}".encode(errors="replace"), digest_size=8)
             for x in node.parts:
                 h.update(x.hash if isinstance(x, Node) else b"\0" + " ".join(x.split()).encode(errors="replace"))
-            node.hash = h.digest()
-            if node is not top and node.tag not in ("html", "body") and not (article and node.tag in TEXT_TAGS):
+            node.hash = (b"\1" if article and node.tag in TEXT_TAGS and not NAMED.search(node.label) else b"\0") + h.digest()
+            if node is not top and node.tag not in ("html", "body", "br", "hr", "img"):
                 out.append(node)
     return tops, out
 
@@ -224,10 +253,12 @@ def text_of(tops: list[Node]) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame, least: int = 10, share: float = 0.2) -> DataFrame:
+def site_templates(pages: DataFrame, least: int = 3, share: float = 0.2, text_least: int = 10, text_share: float = 0.8) -> DataFrame:
     """Hashes of subtrees that stand on at least `least` page bodies and on `share` of the page bodies of a host, as an
-    array for each host. Pages of one main text are one body, that of the least structure: copies of a page count once,
-    however many they are. A page with E elements adds E hashes, so a host has at most E / share of them."""
+    array for each host. A text element of an article that has neither class nor id must stand on `text_least` bodies and
+    on `text_share` of them, as passages recur there. Pages of one main text are one body, that of the least structure:
+    copies of a page count once, however many they are. A page with E elements adds E hashes, so a host has at most
+    E / share of them."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,7 +274,9 @@ def site_templates(pages: DataFrame, least: int = 10, share: float = 0.2) -> Dat
     bodies = written(bodies, "html-bodies")
     sizes = bodies.groupBy("host").agg(F.count("*").alias("pages"))
     counts = bodies.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    many = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
+    plain = F.substring("h", 1, 1) == F.lit(b"\1")
+    enough = F.when(plain, (F.col("n") >= text_least) & (F.col("n") >= F.col("pages") * text_share)).otherwise(F.col("n") >= F.col("pages") * share)
+    many = counts.join(sizes, "host").where(enough)
     return many.groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
@@ -251,12 +284,13 @@ def _host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, least: int = 10, share: float = 0.2, salts: int = 64) -> DataFrame:
+def extract(pages: DataFrame, least: int = 3, share: float = 0.2, part: int = 64) -> DataFrame:
     """Main text of every row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Null html, and pages without text, give an empty text. A null url, or one without a host, counts as the host "".
     Repeated rows are pages each. White space is what str.split() splits at; br ends a block. A host's pages are dealt to
-    `salts` parts, each with a copy of the host's template, so a host with a third of all pages is no one task's.
+    parts of `part` pages, or of a ten-thousandth of all pages where that is more, each with a copy of the host's template:
+    a host with a third of all pages is no one task's, and at most 10,000 hosts have parts (they are broadcast).
     """
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,8 +299,12 @@ def extract(pages: DataFrame, least: int = 10, share: float = 0.2, salts: int =
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(x) for x in out]})
 
     small_batches(pages.sparkSession)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    template = site_templates(pages, least, share).select("host", "template", salt)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(template, ["host", "salt"], "left")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"), F.monotonically_increasing_id().alias("place"))
+    most = max(part, -(-pages.count() // 10_000))
+    large = pages.groupBy(_host().alias("host")).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    large = F.broadcast(written(large, "html-large-hosts"))  # 10,000 hosts at most, as each has more than a 10,000th of the pages
+    template = site_templates(pages, least, share).join(large, "host", "left")
+    template = template.select("host", "template", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    rows = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "place"), F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = rows.join(template, ["host", "salt"], "left")
     return rows.select("page_id", "url", "html", "template").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
