@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Many lexicon and pattern voters each say "toxic" or abstain. A generative label model estimates each voter's accuracy
-and the correlations between voters from counts of vote patterns over all documents (labels of training rows are
-clamped), and a linear classifier is trained on its posterior labels. A score is computed from the text alone.
+Many lexicon and pattern voters each say "toxic" or abstain, and a label, where a training row has one, is one more voter.
+A generative label model estimates in one likelihood, over the vote patterns of all documents, each voter's accuracy, the
+correlations between voters given the class, and how often labels are right. A linear classifier is trained on the model's
+posterior labels of a bounded sample of documents, most of them without a label. A score is computed from the text alone.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ _THEMES = {w: k for k, words in enumerate(LEXICONS.values()) for w in words.spli
 
 @dataclass
 class Lexicon:
-    """Words and word beginnings ("lowe-") learned from training rows; each has a number and a learned voter."""
+    """Words and word beginnings ("lowe-") learned from training rows; each has a number and a learned voter. halves has, by
+    number, which halves of the training rows mark the feature on their own, as bits."""
 
     numbers: dict[str, int] = field(default_factory=dict)
+    halves: list[int] = field(default_factory=list)
 
     def features(self, words: set[str]) -> list[int]:
         get, out = self.numbers.get, set()
@@ -61,7 +64,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def votes(text: str | None, words: set[str], features: list[int]) -> int:
-    """The voters' votes as bits, in the order of VOTERS."""
+    """The voters' votes as bits, in the order of VOTERS; features are those that may vote."""
     out = 0
     for w in words & _THEMES.keys():
         out |= 1 << _THEMES[w]
@@ -79,95 +82,154 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def training_labels(labels: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled ids that are not held out, in hash order: (doc_id, toxic)."""
+    """At most `most` labelled ids that are not held out, in hash order: (doc_id, toxic, half)."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
 
 
-def learn_lexicon(train: DataFrame, size: int = 4096, least: int = 5, tried: int = 40_000) -> Lexicon:
-    """The `size` words and word beginnings that most mark toxic training rows (doc_id, text, toxic).
+def learn_lexicon(train: DataFrame, least: int = 5) -> Lexicon:
+    """The words and word beginnings that mark toxic training rows (doc_id, text, toxic, half).
 
-    A feature needs `least` toxic rows and a log-odds of 2 standard errors above 2.5. Counted on the executors: first in
-    the toxic rows, then, for the `tried` most frequent there, in the others.
+    A feature needs `least` toxic rows and a log-odds of 2 standard errors above 2.5. Counted and decided on the executors;
+    those that are marked go to the driver, at most the vocabulary of the training rows.
     """
-    total = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
-    if not n1 or not n0:
-        return Lexicon()
-
-    def counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter[str] = Counter()
-            for b in batches:
-                for text in b["text"]:
-                    words = words_of(text)
-                    words |= {w[:n] + "-" for w in words for n in PREFIXES if len(w) > n}
-                    seen.update(w for w in words if len(w) <= 64 and (wanted is None or w in wanted))
-            yield pd.DataFrame(seen.items(), columns=["feature", "n"])
-
-        return rows.select("text").mapInPandas(counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
-    often = counted(train.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(tried)
-    pos = {r.feature: r.n for r in often.collect()}
-    neg = {r.feature: r.n for r in counted(train.where("toxic = 0"), frozenset(pos)).collect()}
-    marks = []
-    for feature, n in pos.items():
-        p, q = n + 0.5, neg.get(feature, 0) + 0.5
-        error = np.sqrt(1 / p + 1 / (n1 + 1 - p) + 1 / q + 1 / (n0 + 1 - q))
-        mark = np.log(p / (n1 + 1 - p)) - np.log(q / (n0 + 1 - q)) - 2 * error
-        if mark > 2.5:
-            marks.append((-mark, feature))
-    return Lexicon({feature: k for k, (_, feature) in enumerate(sorted(marks)[:size])})
+    total = {(r.toxic, r.half): r.n for r in train.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
 
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[tuple[str, int, int]] = Counter()
+        for b in batches:
+            for text, toxic, half in zip(b["text"], b["toxic"], b["half"], strict=True):
+                words = words_of(text)
+                words |= {w[:n] + "-" for w in words for n in PREFIXES if len(w) > n}
+                seen.update((w, toxic, half) for w in words)
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feature", "toxic", "half", "n"])
 
-@dataclass
-class LabelModel:
-    """A latent class with voters whose rates given the class, and correlations given the class, are estimated."""
-
-    prior: float
-    toxic_rate: np.ndarray
-    clean_rate: np.ndarray
-    weight: np.ndarray
-    correlation: np.ndarray
+    def has(toxic: int, halves: tuple[int, ...]) -> F.Column:
+        return F.sum(F.when((F.col("toxic") == toxic) & F.col("half").isin(*halves), F.col("n")).otherwise(0))
 
-    def log_odds(self, bits: np.ndarray) -> np.ndarray:
-        on = np.log(self.toxic_rate / self.clean_rate)
-        off = np.log((1 - self.toxic_rate) / (1 - self.clean_rate))
-        return np.log(self.prior / (1 - self.prior)) + (bits * on + (1 - bits) * off) @ self.weight
+    def mark(name: str, halves: tuple[int, ...]) -> F.Column:
+        p, q = (F.col(f"{name}{t}") + 0.5 for t in (1, 0))
+        m1, m0 = (sum(total.get((t, h), 0) for h in halves) for t in (1, 0))
+        error = F.sqrt(1 / p + 1 / (m1 + 1 - p) + 1 / q + 1 / (m0 + 1 - q))
+        return F.when(F.col(f"{name}1") >= least, F.log(p / (m1 + 1 - p)) - F.log(q / (m0 + 1 - q)) - 2 * error).otherwise(0.0)
 
-    def posterior(self, bits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.log_odds(bits), -30, 30)))
+    sides = {"all": (0, 1), "first": (0,), "second": (1,)}
+    found = train.select("text", "toxic", "half").mapInPandas(counts, "feature string, toxic int, half int, n long").groupBy("feature")
+    found = found.agg(*[has(t, halves).alias(f"{name}{t}") for name, halves in sides.items() for t in (1, 0)])
+    marks = found.select("feature", *[mark(name, halves).alias(name) for name, halves in sides.items()]).where("all > 2.5").collect()
+    marks.sort(key=lambda r: (-r["all"], r.feature))
+    return Lexicon({r.feature: k for k, r in enumerate(marks)}, [(r.first > 2.5) + 2 * (r.second > 2.5) for r in marks])
 
 
 def unpack(pattern: np.ndarray) -> np.ndarray:
     return ((pattern[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
 
 
-def fit_label_model(pattern: np.ndarray, state: np.ndarray, count: np.ndarray, rounds: int = 60) -> LabelModel:
-    """EM over vote patterns: state is 1 or 0 for clamped rows and -1 for rows without a label.
+PAIRS = np.triu_indices(len(VOTERS), 1)
+
+
+def terms(bits: np.ndarray) -> np.ndarray:
+    """The votes, and the products of all pairs of votes."""
+    return np.hstack([bits, bits[:, PAIRS[0]] * bits[:, PAIRS[1]]])
 
-    Voters that agree beyond what the class explains share their weight: a voter's weight is one over one plus its
-    positive correlations, given the class, with the others.
+
+@dataclass
+class LabelModel:
+    """A latent class. Given the class, a vote pattern's log-probability is linear in the votes and in the products of two
+    votes: the weights of products are the correlations that the class does not explain. label is how often a label says
+    toxic, by class (clean, toxic)."""
+
+    prior: float
+    weights: np.ndarray
+    log_total: np.ndarray
+    rates: np.ndarray
+    label: np.ndarray
+
+    def log_odds(self, bits: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+        """Of class toxic; state: 1 or 0 where a label says so, -1 without one."""
+        odds = np.log(self.prior / (1 - self.prior)) + terms(bits) @ (self.weights[1] - self.weights[0]) - (self.log_total[1] - self.log_total[0])
+        if state is not None:
+            clean, toxic = self.label
+            odds = odds + np.where(state == 1, np.log(toxic / clean), np.where(state == 0, np.log((1 - toxic) / (1 - clean)), 0.0))
+        return np.clip(odds, -30, 30)
+
+    def posterior(self, bits: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.log_odds(bits, state)))
+
+    def correlations(self) -> np.ndarray:
+        """Weights of pairs of votes, (class, voter, voter)."""
+        n, out = len(VOTERS), np.zeros((2, len(VOTERS), len(VOTERS)))
+        for c in range(2):
+            out[c][PAIRS] = self.weights[c, n:]
+            out[c] += out[c].T
+        return out
+
+
+def _match(every: np.ndarray, weights: np.ndarray, wanted: np.ndarray, size: float, ridge: float, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Weights whose expected terms over all patterns are those wanted (Newton's method on the likelihood of `size` rows, with
+    a ridge on pairs), and the log of the patterns' sum."""
+    n = len(VOTERS)
+    pull = np.where(np.arange(every.shape[1]) < n, 1e-6, ridge)
+
+    def state(w: np.ndarray) -> tuple[float, np.ndarray, float]:
+        z = every @ w
+        top = z.max()
+        p = np.exp(z - top)
+        log_total = float(top + np.log(p.sum()))
+        return size * (w @ wanted - log_total) - (pull * w * w).sum() / 2, p / p.sum(), log_total
+
+    value, p, log_total = state(weights)
+    for _ in range(steps):
+        mean = p @ every
+        hessian = size * ((every * p[:, None]).T @ every - np.outer(mean, mean)) + np.diag(pull)
+        move = np.linalg.solve(hessian + 1e-9 * size * np.eye(len(mean)), size * (wanted - mean) - pull * weights)
+        for shrink in (1.0, 0.3, 0.1, 0.01):
+            now = state(weights + shrink * move)
+            if now[0] >= value:
+                break
+        gain = now[0] - value
+        if gain >= 0:
+            weights, (value, p, log_total) = weights + shrink * move, now
+        if gain < 0.01:
+            break
+    return weights, log_total
+
+
+def fit_label_model(pattern: np.ndarray, state: np.ndarray, count: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> LabelModel:
+    """EM over vote patterns and labels: state is 1 or 0 where a label says so and -1 without one.
+
+    The voters' terms given the class are matched exactly by sums over all 2**14 patterns. Voters know better than chance:
+    the rates of a vote and of two votes together among clean documents are held below those among toxic ones. A label's
+    rates start from 19 right of 20, which counts as ten labels and a tenth of those seen. The first round believes labels.
     """
-    bits, n = unpack(pattern), len(VOTERS)
-    model = LabelModel(0.1, np.full(n, 0.3), np.full(n, 0.01), np.ones(n), np.eye(n))
-    for _ in range(rounds):
-        p = np.where(state < 0, model.posterior(bits), state)
-        one, zero = count * p, count * (1 - p)
-        model.prior = float(np.clip((one.sum() + 1) / (count.sum() + 10), 1e-4, 0.9))
-        model.toxic_rate = (one @ bits + 0.3) / (one.sum() + 1)
-        model.clean_rate = np.minimum((zero @ bits + 0.01) / (zero.sum() + 1), model.toxic_rate / 1.05)
-        model.toxic_rate, model.clean_rate = (np.clip(x, 1e-6, 1 - 1e-6) for x in (model.toxic_rate, model.clean_rate))
-        corr = np.zeros((n, n))
-        for w, rate in ((one, one @ bits / max(one.sum(), 1e-9)), (zero, zero @ bits / max(zero.sum(), 1e-9))):
-            d = bits - rate
-            cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr += cov / np.outer(sd, sd) / 2
-        np.fill_diagonal(corr, 1.0)
-        model.correlation = corr
-        model.weight = 1 / np.maximum(1.0, np.clip(corr, 0, 1).sum(axis=1))
+    n = len(VOTERS)
+    bits, every = unpack(pattern), terms(unpack(np.arange(1 << n)))
+    mine = terms(bits)
+    rates = np.stack([np.full(n, 0.01), np.full(n, 0.3)])
+    start = np.hstack([np.log(rates / (1 - rates)), np.zeros((2, len(PAIRS[0])))])
+    model = LabelModel(0.1, start, -np.log(1 - rates).sum(axis=1), rates, np.array([0.05, 0.95]))
+    seen = state >= 0
+    firm = 10 + count[seen].sum() / 10
+    before = np.zeros(len(count))
+    for k in range(rounds):
+        toxic = model.posterior(bits, state) if k else np.where(seen, np.where(state == 1, 0.95, 0.05), model.posterior(bits))
+        if k and np.abs(toxic - before).max(initial=0) < 1e-3:
+            break
+        before = toxic
+        model.prior = float(np.clip(((count * toxic).sum() + 1) / (count.sum() + 10), 1e-4, 0.9))
+        wanted, sizes = [], []
+        for c, few in ((1, 0.3), (0, 0.01)):
+            w = count * (toxic if c else 1 - toxic)
+            like = np.concatenate([np.full(n, few), np.full(len(PAIRS[0]), few * few)])
+            wanted.append((w @ mine + like) / (w.sum() + 1))
+            sizes.append(w.sum() + 1)
+            model.label[c] = ((w * (state == 1)).sum() + (0.95 if c else 0.05) * firm) / ((w * seen).sum() + firm)
+        wanted[1] = np.minimum(wanted[1], wanted[0] / 1.05)
+        for c in (0, 1):
+            model.rates[c] = wanted[1 - c][:n]
+            model.weights[c], model.log_total[c] = _match(every, model.weights[c], wanted[1 - c], sizes[1 - c], ridge)
     return model
 
 
@@ -190,40 +252,45 @@ def fit_linear(features: list[np.ndarray], size: int, target: np.ndarray, ridge:
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000, key: str | None = None) -> DataFrame:
     """A score for every row of docs (doc_id, text): doc_id, held_out, score, predicted, votes, posterior.
 
-    At most `train_rows` labelled rows that are not held out teach the lexicon and the classifier; vote patterns are
-    counted over all documents. A pattern is 14 bits, so the driver gets at most 3 * 2**14 counts. labels (doc_id,
-    toxic); a document labelled twice counts as toxic if either label says so. Null and empty texts get the score of no
-    evidence. Repeated rows are scored each. Without labels of both classes the label model's posterior is the score.
-    key names a binary column of docs that goes along with each row, as the last column.
+    At most `train_rows` labelled rows that are not held out teach the lexicon. The label model is fitted to the vote patterns
+    of all documents: a pattern is 14 bits, so the driver gets at most 3 * 2**14 counts. What it learns from a labelled row
+    are votes of words that the other half of these rows marks, so no label judges what it has taught. The classifier is trained on the posterior labels of those labelled rows and
+    of as many documents again, without a label and not held out, in hash order. labels (doc_id, toxic); a document
+    labelled twice counts as toxic if either label says so. Null and empty texts get the score of no evidence. Repeated
+    rows are scored each. Without labels of both classes the label model's posterior is the score. key names a binary column
+    of docs that goes along with each row, as the last column.
     """
     small_batches(docs.sparkSession)
-    sample = F.broadcast(training_labels(labels, train_rows))  # train_rows rows of two numbers at most
+    sample = F.broadcast(training_labels(labels, train_rows))  # train_rows rows of three numbers at most
     extra, kind = ([key], f", {key} binary") if key else ([], "")
     lexicon = learn_lexicon(docs.select("doc_id", "text").join(sample, "doc_id"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
-            for text in b["text"]:
+            for text, half in zip(b["text"], b["half"], strict=True):
                 words = words_of(text)
                 features = lexicon.features(words)
-                found.append((votes(text, words, features), features))
-            yield pd.concat([b[["doc_id"]], pd.DataFrame(found, columns=["votes", "features"], index=b.index), b[extra]], axis=1)
+                own = features if half < 0 else [f for f in features if lexicon.halves[f] >> (1 - half) & 1]
+                found.append((votes(text, words, features), votes(text, words, own), features))
+            yield pd.concat([b[["doc_id", "state"]], pd.DataFrame(found, columns=["votes", "seen", "features"], index=b.index), b[extra]], axis=1)
 
-    seen = docs.select("doc_id", "text", *extra).mapInPandas(look, f"doc_id long, votes int, features array<int>{kind}")
+    rows = docs.select("doc_id", "text", *extra).join(sample, "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce("toxic", F.lit(-1)).alias("state"), F.coalesce("half", F.lit(-1)).alias("half"), *extra)
+    seen = rows.mapInPandas(look, f"doc_id long, state int, votes int, seen int, features array<int>{kind}")
     seen = written(seen, "toxicity-votes")
-    state = F.coalesce(F.col("toxic"), F.lit(-1)).alias("state")
-    counts = seen.join(sample, "doc_id", "left").groupBy("votes", state).agg(F.count("*").alias("n")).toPandas()
-    model = fit_label_model(counts["votes"].to_numpy(np.int64), counts["state"].to_numpy(), counts["n"].to_numpy(float))
-    train = seen.join(sample, "doc_id").select("votes", "features", "toxic").toPandas()
-    linear = None
-    if train["toxic"].nunique() == 2:
-        size = len(lexicon.numbers)
+    counts = seen.groupBy("seen", "state").agg(F.count("*").alias("n")).toPandas()
+    model = fit_label_model(counts["seen"].to_numpy(np.int64), counts["state"].to_numpy(), counts["n"].to_numpy(float))
+    linear, both = None, counts.loc[counts["state"] >= 0, "state"].nunique() == 2
+    if both:
+        # a repeated doc_id's rows all have its label, so the labelled rows are bounded like the others
+        order = F.xxhash64("doc_id", F.lit("train")), "doc_id", "votes", F.hash("features")
+        some = [seen.where(w).orderBy(*order).limit(train_rows).select("votes", "state", "features") for w in (F.col("state") >= 0, (F.col("state") < 0) & ~held_out())]
+        train = some[0].unionByName(some[1]).toPandas()
         bits = unpack(train["votes"].to_numpy(np.int64))
-        rows = [np.concatenate([np.asarray(f, np.int64), size + np.flatnonzero(v)]) for f, v in zip(train["features"], bits, strict=True)]
-        # the label is one more voter, right nine times in ten
-        odds = model.log_odds(bits) + np.where(train["toxic"] == 1, 1, -1) * np.log(9)
-        linear = fit_linear(rows, size + len(VOTERS), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        size = len(lexicon.numbers)
+        known = [np.concatenate([np.asarray(f, np.int64), size + np.flatnonzero(v)]) for f, v in zip(train["features"], bits, strict=True)]
+        linear = fit_linear(known, size + len(VOTERS), model.posterior(bits, train["state"].to_numpy()))
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,5 +304,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000,
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "votes": b["votes"], "posterior": posterior} | {c: b[c] for c in extra})
 
-    out = seen.mapInPandas(rate, f"doc_id long, score double, votes int, posterior double{kind}")
+    out = seen.select("doc_id", "votes", "features", *extra).mapInPandas(rate, f"doc_id long, score double, votes int, posterior double{kind}")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "votes", "posterior", *extra)
