@@ -231,6 +231,22 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), q.limit(0)).count() == 0 and topk.top_k(df.limit(0), q).count() == 0
 
 
+def test_topk_of_components_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    v = [(0, [1.0, 0.0, -2.0]), (1, [200000.0, 0.0, 0.0]), (2, [300000.0, 0.0, 0.0]), (3, [1e18, -1e18, 3.0]), (4, [1e18, -1e18, 4.0]), (5, [1e300, 1e300, 0.5]), (6, [-1e300, 1e-300, 0.0]), (7, [-4.0, -4.0, -4.0]), (8, [-4.0, -4.0])]
+    v += [(10 + k, (rng.normal(size=3) * 10.0 ** rng.integers(-3, 30)).tolist()) for k in range(60)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    from fractions import Fraction
+
+    whole = {i: [int(np.floor(1024 * y)) if abs(y) < 1e9 else Fraction(y) * 1024 // 1 for y in x] for i, x in v}
+    got = defaultdict(list)
+    for r in topk.top_k(df, df.select(F.col("vec_id").alias("query_id"), "embedding"), block_rows=20, chunk=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, x in whole.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in whole.items() if i != q)[:10]
+        assert got[q] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in best], q
+
+
 BASE = [re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
 
 
@@ -255,6 +271,77 @@ def test_secrets(spark, docs, rows, none, tmp_path):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_hypergeometric_is_exact_at_every_size():
+    from math import comb
+
+    draws = Counter(mixing.hypergeometric(np.random.default_rng(k), 7, 9, 6) for k in range(4000))
+    for x in range(7):
+        assert draws[x] / 4000 == pytest.approx(comb(7, x) * comb(9, 6 - x) / comb(16, 6), abs=0.03)
+    big = [mixing.hypergeometric(np.random.default_rng(k), 3 * 10**11, 7 * 10**11, 5 * 10**11) for k in range(200)]
+    spread = (5e11 * 0.3 * 0.7 * 0.5) ** 0.5
+    z = (np.array(big) - 1.5e11) / spread
+    assert abs(z.mean()) < 0.3 and 0.8 < z.std() < 1.2
+    q = mixing.split_quotas([3 * 10**11, 5, 10**12], 5, 1)
+    assert q.sum(axis=0).tolist() == [3 * 10**11, 5, 10**12] and q.min() >= 0 and abs(q.sum(axis=1) - q.sum() / 5).max() <= 5
+    assert (q[:, 2] != q.sum(axis=1) * 10**12 // q.sum()).any(), "drawn, not rounded"
+
+
+def wanted_words(sizes, weights=(5, 2, 1), most=3.0):
+    """Targets by bisection on the level of water: min(most * size, level * weight)."""
+    low, high = 0.0, most * max(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        filled = sum(min(most * s, level * weights[k % 3]) for k, s in enumerate(sizes))
+        low, high = (level, high) if filled < sum(sizes) else (low, level)
+    return [min(most * s, low * weights[k % 3]) for k, s in enumerate(sizes)]
+
+
+def test_targets_are_water_levels():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        sizes = (10 ** rng.uniform(0, 5, rng.integers(1, 9))).astype(int).tolist()
+        assert mixing.targets(sizes) == pytest.approx(wanted_words(sizes), rel=1e-6)
+
+
+def test_mixing_of_names_that_clash_and_small_sources(spark):
+    rows = [(k, "w " * (k % 7 + 1), "big", k) for k in range(300)] + [(900, "one two", "a", 0), (901, "same text", "b", 0), (901, "same text", "b", 1), (902, None, "c", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place long").withColumns({"mix_shard": F.lit("x"), "row": F.lit(1), "copies": F.lit(2), "_row": F.lit(3)})
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] += r.taken
+    out = mixing.mixed_rows(df)
+    assert out.columns == ["doc_id", "text", "source", "place", "row", "copies", "_row", "mix_shard", "mix_place"]
+    got, seen = Counter(), out.collect()
+    for r in seen:
+        got[r.doc_id] += len((r.text or "").split())
+    assert got == +taken and all(0 <= r.mix_shard < 16 and r.copies == 2 for r in seen)
+    assert taken[900] <= 6 and taken[901] <= 12
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token = abcdefgh1 end", 0, "a", "b", "c"), (2, None, 0, "a", "b", "c")], "doc_id long, text string, n_chars long, blob string, cuts string, _sha string")
+    rows = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert rows[1].text == "[SECRET] end" and rows[1].n_chars == 12 and rows[2].text is None and rows[2].n_chars == 0
+    assert all((r.blob, r.cuts, r._sha) == ("a", "b", "c") for r in rows.values())
+
+
+def test_ledger_with_a_blob_twice_gives_each_document_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "none"), (3, "token = abcdefgh1")], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    secrets.scan_secrets(df, ledger).count()
+    again = spark.read.parquet(ledger).where("n_assign > 0")
+    again.write.mode("append").partitionBy("version").parquet(ledger)
+    assert Counter(r.doc_id for r in secrets.scan_secrets(df, ledger).collect()) == {1: 1, 2: 1, 3: 1}
+
+
+def test_added_kinds_beside_base_spans(spark):
+    text = "x ghp_" + "A1b2" * 8 + " sk-" + "q" * 24 + " token: " + "a" * 30
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.scan_secrets(df).first()
+    kinds = Counter(s.split(":")[0] for s in r.spans.split(","))
+    assert kinds == {"prefix": 2, "assign": 1, "hex": 1} and r.n_assign == 1 and r.n_hex == 1
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs, shards=4, block_docs=4).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -266,7 +353,7 @@ def test_mixing(docs, rows, none):
         by[r.source][1] += r.taken
         by[r.source][2] = r.target
     sizes = [by[s][0] for s in ("s0", "s1", "s2", None)]
-    assert [by[s][2] for s in ("s0", "s1", "s2", None)] == pytest.approx(mixing.targets(sizes)) and sum(x[2] for x in by.values()) == pytest.approx(sum(sizes))
+    assert [by[s][2] for s in ("s0", "s1", "s2", None)] == pytest.approx(wanted_words(sizes)) and sum(x[2] for x in by.values()) == pytest.approx(sum(sizes))
     for s, (_, taken, target) in by.items():
         assert abs(taken - target) <= max(0.05 * target, 30), s
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs, shards=4, block_docs=4).collect())
@@ -303,16 +390,44 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
-def test_label_model_weighs_correlated_voters_less():
+def test_label_model_estimates_rates_and_correlations():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    votes = np.zeros((4000, len(toxicity.VOTERS)), int)
-    votes[:, 0] = rng.random(4000) < np.where(y, 0.7, 0.02)
-    votes[:, 1] = votes[:, 0]
-    votes[:, 2] = rng.random(4000) < np.where(y, 0.6, 0.05)
-    pattern, count = np.unique(votes @ (1 << np.arange(len(toxicity.VOTERS))), return_counts=True)
-    m = toxicity.fit_label_model(pattern, np.full(len(pattern), -1), count.astype(float))
-    assert m.weight[0] < 0.7 and m.weight[2] > 0.85 and m.toxic_rate[0] > 0.5 and m.clean_rate[0] < 0.1
+    n, y = 20_000, rng.random(20_000) < 0.2
+    votes = np.zeros((n, len(toxicity.VOTERS)), int)
+    votes[:, 0] = rng.random(n) < np.where(y, 0.7, 0.02)
+    votes[:, 1] = np.where(rng.random(n) < 0.95, votes[:, 0], rng.random(n) < 0.2)  # nearly a copy of the first
+    votes[:, 2] = rng.random(n) < np.where(y, 0.6, 0.05)
+    votes[:, 3] = rng.random(n) < np.where(y, 0.5, 0.03)
+    state = np.where(rng.random(n) < 0.1, np.where(rng.random(n) < 0.9, y, ~y), -1)
+    rows, count = np.unique(np.stack([votes @ (1 << np.arange(len(toxicity.VOTERS))), state]), axis=1, return_counts=True)
+    m = toxicity.fit_label_model(rows[0], rows[1], count.astype(float))
+    assert m.prior == pytest.approx(0.2, abs=0.04) and m.label == pytest.approx([0.1, 0.9], abs=0.07)
+    assert m.rates[1][[0, 2, 3]] == pytest.approx([0.7, 0.6, 0.5], abs=0.08) and m.rates[0][[0, 2, 3]] == pytest.approx([0.02, 0.05, 0.03], abs=0.03)
+    c = m.correlations()
+    assert c[0][0, 1] > 2 and c[1][0, 1] > 2 and abs(c[1][2, 3]) < 1
+    one = lambda *on: m.log_odds(np.isin(np.arange(len(toxicity.VOTERS)), on)[None].astype(float))[0]
+    assert one(0, 1) - one(0) < 0.5 * (one(0, 2) - one(0)), "a copy of a voter adds little"
+
+
+def test_toxicity_finds_planted_rows_of_the_held_out_fold(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in ("ana", "eno", "iri") for c in "ptrsvz"]
+    rows, labels = [], []
+    for k in range(2500):
+        w, bad = rng.choice(words, rng.integers(5, 60)).tolist(), k % 10 == 0
+        if bad:
+            w[2:2] = [["moron", "scum"], [f"zorgq{chr(97 + k % 7)}n", f"zorgq{chr(97 + k % 5)}x"], ["you pathetic"]][k // 10 % 3]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(bad if rng.random() > 0.05 else not bad)))  # one label in twenty is wrong
+    rows += [(7, rows[7][1]), (20, rows[20][1]), (3000, "fine words " * 200_000), (3001, "moron scum " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(df, spark.createDataFrame([*labels, (20, 1)], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    fold = [r for r in got if r.held_out and r.doc_id < 2500]
+    caught, wrong = (sum(r.predicted for r in fold if (r.doc_id % 10 == 0) == bad) for bad in (True, False))
+    assert caught >= 0.95 * sum(r.doc_id % 10 == 0 for r in fold) and wrong <= 0.01 * len(fold)
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[3000] == 0 and by[3001] == 1
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>Home</ul></nav>
@@ -320,6 +435,44 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <script>if (a < b) document.write("</p>")</script><form><input>name</form><section id="comments"><p>Nice post</p></section><aside>Related</aside></article><div class="ad">Buy</div><footer>End</footer></body></html>"""
 
 
+FRAMES = [
+    ('<body><div class="layout with-sidebar"><p>Main text of the page</p></div></body>', "Main text of the page"),
+    ('<body><div id="page" class="has-comments"><p>Main text</p><div class="comments"><p>Me first</p></div></div></body>', "Main text"),
+    ('<body><article><div class="social-science"><p>Study text</p></div><p>More</p></article></body>', "Study text\nMore"),
+    ('<body><form id="aspnetForm"><div class="header">Site</div><main><p>In a form</p></main></form></body>', "In a form"),
+    ('<body><div class="promo"><article><p>Long text of the article</p></article></div><div class="related"><article>Teaser</article></div></body>', "Long text of the article"),
+    ('<body><article><p>Text</p><p class="ad">Buy</p><blockquote class="comment">Hm</blockquote><span class="share">Share</span></article></body>', "Text"),
+    ('<body><article><p>Short</p><section id="comments"><p>A very long comment, far longer than the text</p></section></article></body>', "Short"),
+    ('<body><article><p class="lead">Lead</p><p class="promotion-and-growth">Economy</p></article></body>', "Lead\nEconomy"),
+]
+
+
+@pytest.mark.parametrize("page, text", FRAMES)
+def test_html_frames_keep_their_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_recurring_text_of_generated_sites(spark):
+    """Sites whose notices recur, with and without classes, on many pages and on few; the texts are known."""
+    rng, rows, want = np.random.default_rng(12), [], {}
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    for site, pages in enumerate((4, 12, 40)):
+        notice = f"All of site {site} is a notice"
+        for k in range(pages):
+            n = len(rows)
+            text = [" ".join(word() for _ in range(rng.integers(3, 30))) for _ in range(rng.integers(1, 6))]
+            if k % 3 == 0:
+                text.append("A passage that a third of the pages quote")
+            plain = f"<p>{notice}</p>" if pages >= 10 else ""
+            body = "".join(f"<p>{t}</p>" for t in text)
+            rows.append((n, f"http://s{site}.example/{k}", f"<html><body><nav>Menu {word()}</nav><article><h1>Head {n}</h1>{plain}{body}<div class='box'><p>Box {site}</p></div><p class='hint'>Hint {site}</p></article><footer>{word()}</footer></body></html>"))
+            want[n] = "\n".join([f"Head {n}", *text])
+    rows += [(1000, "http://s1.example/0", rows[4][2]), (1001, "http://s1.example/0", rows[4][2]), (1002, "http://one.example/", "<p>" + "long " * 300_000 + "</p>")]
+    want |= {1000: want[4], 1001: want[4], 1002: ("long " * 300_000).strip()}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), part=8).collect()}
+    assert got == want
+
+
 def test_html_page():
     assert html.main_text(PAGE) == "A & B\nFirst bold\nsecond\nThird é\nx\ny"
     assert html.main_text("") == "" and html.main_text("plain &lt; text") == "plain < text" and html.main_text("<p>a<p>b</p></div>c") == "a\nb\nc"
