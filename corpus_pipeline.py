@@ -1,7 +1,8 @@
 """A training corpus from documents: toxicity, near duplicates, secrets, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents;
-the last returns the packed pieces.
+the last returns the packed pieces. Columns that documents do not have may have any names and go in the first stage. Empty
+tables stay empty; null texts are empty texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is decided by its own text: rows without a doc_id go if they are toxic, and a clean row stays though a
     toxic one has the same doc_id. Repeated rows go or stay together.
     """
-    docs = docs.withColumn("_row", row())
+    docs = docs.select(*COLUMNS).withColumn("_row", row())
     scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key="_row")
     toxic = scores.where("predicted = 1").select("_row").distinct()
     return docs.join(toxic, "_row", "left_anti").select(*COLUMNS)
@@ -39,12 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the one of the smallest digest; among identical rows one, by lang, source and n_chars. Rows without words are in no
     component and all stay. A row stays though a copy of another row has its doc_id.
     """
-    docs = docs.withColumn("_row", row())
+    docs = docs.select(*COLUMNS).withColumn("_row", row())
     found = jaccard.jaccard_components(docs, key="_row").where("n_shingles > 0")
     rows = found.groupBy("class", "_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     rows = written(rows, "near-duplicate-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = rows.groupBy("class").agg(F.min(order).alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    kept = written(kept, "near-duplicate-kept")  # a plain table, so that a hot class of the join can be split
     several = rows.join(kept.select("class", F.col("kept._row").alias("kept")), "class")
     gone = several.where("_row <> kept").select("_row")
     again = several.where("_row = kept AND n > 1").select("_row")
@@ -56,16 +58,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the scan finds is replaced by a mark; all documents stay."""
-    return secrets.redact(docs).select(*COLUMNS)
+    """Every span that the scan finds is replaced by a mark and n_chars follows; all rows stay, those with null or repeated
+    doc_ids as well, and null texts stay null."""
+    return secrets.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_rows(docs).select(*COLUMNS)
+    """Rows as often as the mix takes them: rows that agree in doc_id, null included, text and source alike. They stand in the
+    order of the mix: a file holds runs of one output shard in the shard's shuffled order."""
+    mixed = mixing.mixed_rows(docs.select(*COLUMNS))
+    # 4096 ranges of place for each shard, so that a shard is no one task's
+    mixed = mixed.repartition("mix_shard", F.shiftright("mix_place", 52)).sortWithinPartitions("mix_shard", "mix_place")
+    return mixed.select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every row: null and repeated doc_ids are rows like others, and repeats of a row go to different groups."""
     return packing.pack(docs)
 
 
