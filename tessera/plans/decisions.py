@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import decision, evaluation, metrics, models, robust
-from tessera.plans.records import UNIT
+from tessera.operators import decision, evaluation, features, metrics, models, robust
+from tessera.plans.records import RBITS, UNIT, unioned
 from tessera.plans.registry import query
 from tessera.plans.views import PAIRS, RECORDS, SCORES, Views, f05_sql, key, tok
 from tessera.sources import tables
@@ -48,7 +48,7 @@ def j3_tune(spark, d):
 
 @query("j5_expected_f05", "s1_id:s cand_id:s k:i expected:d")
 def j5(spark, d):
-    return decision.expected_f05_matches(Views(spark, d, whole=True).assigned)
+    return decision.expected_f05_matches(Views(spark, d).assigned)
 
 
 def _flagged(v: Views):
@@ -97,10 +97,10 @@ def j8(spark, d):
     return decision.oracle_k(v.assigned, v.truth, v.spine)
 
 
-@query("j10_topk_matches", "s1_id:s match_id:s", f"{WP}, {RANKS}, kk AS (SELECT s1_id, CAST(substr(s1_id, 4) AS INT) % 3 AS n FROM spine) SELECT rk.s1_id, rk.cand_id AS match_id FROM rk JOIN kk ON kk.s1_id = rk.s1_id WHERE rk.k <= kk.n AND rk.prob >= 0.2")
+@query("j10_topk_matches", "s1_id:s match_id:s", f"{WP}, {RANKS}, kk AS (SELECT s1_id, CAST(substr(s1_id, 4) AS INT) // 3 % 3 AS n FROM spine) SELECT rk.s1_id, rk.cand_id AS match_id FROM rk JOIN kk ON kk.s1_id = rk.s1_id WHERE rk.k <= kk.n AND rk.prob >= 0.2")
 def j10(spark, d):
     v = Views(spark, d)
-    return decision.top_k_matches(v.assigned, v.spine.withColumn("k", F.substring("s1_id", 4, 20).cast("int") % 3), 0.2)
+    return decision.top_k_matches(v.assigned, v.spine.withColumn("k", F.expr("cast(substring(s1_id, 4) as int) div 3 % 3")), 0.2)
 
 
 @query("j11_relative", "s1_id:s cand_id:s r_rank:i r_pmax:d r_n:i r_n_ge50:i r_prev_gap:d r_next_gap:d r_mass_above:d r_rank_src:i r_ratio:d", f"""{WP}, {RANKS} SELECT s1_id, cand_id, k - 1 AS r_rank, max(prob) OVER g AS r_pmax, count(*) OVER g AS r_n, sum(CAST(prob >= 0.5 AS INT)) OVER g AS r_n_ge50, coalesce(lag(prob) OVER o - prob, 0) AS r_prev_gap, coalesce(prob - lead(prob) OVER o, prob) AS r_next_gap, coalesce(sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r_mass_above,
@@ -129,6 +129,22 @@ def j15(spark, d):
     return decision.band_stack(v.assigned.join(other, ["s1_id", "cand_id"]), coef=(0.5, 1.0, -0.25))
 
 
+COMPARED = """named AS (SELECT 'thr' AS rule, 'tuned' AS params, s1_id, cand_id FROM assigned WHERE prob >= (SELECT t FROM curve ORDER BY round(macro, 9) DESC, t LIMIT 1) UNION ALL SELECT 'thr', 'frozen', s1_id, cand_id FROM assigned WHERE prob >= 0.5
+ UNION ALL SELECT 's2_thr', 'frozen', s1_id, cand_id FROM assigned WHERE prob >= CASE substr(cand_id, 2, 1) WHEN '2' THEN 0.6 ELSE 0.4 END)"""
+
+
+@query("j13_rules", "rule:s params:s macro:d", f"""{WP}, {CURVE}, {COMPARED}, rp AS (SELECT DISTINCT rule, params FROM (VALUES ('thr', 'tuned'), ('thr', 'frozen'), ('s2_thr', 'frozen')) v(rule, params)),
+hit AS (SELECT rp.rule, rp.params, n.s1_id, n.n_true, count(d.cand_id) AS p, count(t.match_id) AS tp FROM rp CROSS JOIN ntrue n LEFT JOIN named d ON d.rule = rp.rule AND d.params = rp.params AND d.s1_id = n.s1_id LEFT JOIN truth t ON t.s1_id = d.s1_id AND t.match_id = d.cand_id GROUP BY ALL)
+SELECT rule, params, avg({f05_sql('tp', 'n_true', 'p')}) AS macro FROM hit GROUP BY ALL""")
+def j13(spark, d):
+    """One threshold, tuned and frozen, and one for each source."""
+    v = Views(spark, d)
+    best = decision.tune_threshold(v.assigned, v.truth, v.spine).first().t
+    by_source = F.when(F.substring("cand_id", 2, 1) == "2", 0.6).otherwise(0.4)
+    frozen = {"thr": v.matches, "s2_thr": decision.threshold(v.assigned, by_source)}
+    return decision.compare_rules({"thr": decision.threshold(v.assigned, best)}, frozen, v.truth, v.spine)
+
+
 @query("a25_splice", "s1_id:s cand_id:s prob:d", f"{WP} SELECT s1_id, cand_id, prob FROM assigned WHERE s1_id NOT IN (SELECT s1_id FROM spine WHERE country = 'fr') UNION ALL SELECT s1_id, cand_id, prob FROM preds WHERE s1_id IN (SELECT s1_id FROM spine WHERE country = 'fr')")
 def a25(spark, d):
     v = Views(spark, d)
@@ -157,7 +173,7 @@ def m2_count(spark, d):
 
 @query("m4_bootstrap", "delta:d low:d high:d p_not_better:d")
 def m4(spark, d):
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     return metrics.paired_bootstrap(metrics.entity_scores(decision.threshold(v.assigned, 0.8), v.truth, v.spine), scores(v), 200)
 
 
@@ -180,18 +196,21 @@ def m6_cap(spark, d):
     return metrics.recall_at(v.preds, v.truth, "prob", (1, 2, 4))
 
 
-BUCKETS = """CASE WHEN n_script_c <> 'latin' THEN 'native_script' WHEN n_kind_c = 'empty' THEN 'empty_name' WHEN n_kind_c IN ('domain', 'handle') THEN 'domain_handle' WHEN n_alias_c <> '' THEN 'alias' WHEN name_sim >= 90 THEN 'name_near_identical' WHEN name_sim >= 70 AND addr_sim < 80 THEN 'name_extra_or_reorder' WHEN addr_sim >= 60 THEN 'name_typo_moderate' ELSE 'name_heavy_diff' END AS bucket,
+BUCKETS = """CASE WHEN n_script_c <> 'latin' THEN 'native_script' WHEN n_kind_c = 'empty' THEN 'empty_name' WHEN n_kind_c IN ('domain', 'handle') THEN 'domain_handle' WHEN n_alias_c <> '' THEN 'alias' WHEN name_sim >= 90 THEN 'name_near_identical' WHEN name_sim >= 70 AND name_sim < 80 THEN 'name_extra_or_reorder' WHEN name_sim >= 60 THEN 'name_typo_moderate' ELSE 'name_heavy_diff' END AS bucket,
 CASE WHEN a_empty_c THEN 'cand_addr_empty' WHEN a_house_c = '' THEN 'cand_no_house' WHEN a_house = a_house_c THEN 'house_equal' WHEN ltrim(a_house, '0') = ltrim(a_house_c, '0') THEN 'house_zero_pad' ELSE 'house_diff' END AS addr_state"""
 STATES = ["cand_addr_empty", "cand_no_house", "house_equal", "house_zero_pad", "house_diff"]
 
 
 def _missed(v: Views):
-    """Pairs that assignment and threshold leave out."""
-    left = v.pairs.join(v.matches.withColumnRenamed("match_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
-    return left.withColumns({"name_tset": F.col("name_sim"), "name_ratio": F.col("addr_sim")})
+    """Pairs of truth that three retrievers do not find, with the edit similarities of their names."""
+    cands = unioned(v).select("s1_id", "cand_id")
+    missed = v.truth.withColumnRenamed("match_id", "cand_id").join(cands, ["s1_id", "cand_id"], "left_anti")
+    sim = 100 * (1 - F.levenshtein("n_core", "n_core_c") / F.greatest(F.char_length("n_core"), F.char_length("n_core_c"), F.lit(1)))
+    return features.attach(missed, v.s1, v.pool).withColumns({"name_tset": sim, "name_ratio": sim})
 
 
-MISSED = "mi AS (SELECT n.* FROM near n WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.s1_id = n.s1_id AND a.cand_id = n.cand_id AND a.prob >= 0.5))"
+SIDES = ", ".join(f"s.{c} AS {c}, p.{c} AS {c}_c" for c in ("n_core", "n_kind", "n_script", "n_alias", "a_house", "a_empty"))
+MISSED = f"{RBITS}, mi AS (SELECT t.s1_id, t.match_id AS cand_id, {SIDES}, 100 * (1 - levenshtein(s.n_core, p.n_core) / CAST(greatest(length(s.n_core), length(p.n_core), 1) AS DOUBLE)) AS name_sim FROM truth t JOIN s1 s ON s.entity_id = t.s1_id JOIN pool p ON p.entity_id = t.match_id WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.s1_id = t.s1_id AND c.cand_id = t.match_id))"
 
 
 @query("m7_miss_audit", "bucket:s addr_state:s n:i", f"{WP}, {MISSED} SELECT bucket, addr_state, count(*) AS n FROM (SELECT {BUCKETS} FROM mi) GROUP BY ALL")
@@ -277,7 +296,7 @@ FEATURES = ["name_sim", "addr_sim", "house_rel", "num_jacc", "extra_tok", "missi
 @query("n1_gbt", "s1_id:s cand_id:s prob:d")
 def n1(spark, d):
     """Boosted trees on the built-in features, scored on their own rows."""
-    rows = _numeric(Views(spark, d, whole=True)).persist()
+    rows = _numeric(Views(spark, d)).persist()
     return models.score(models.train_gbt(rows, FEATURES, rounds=10, depth=3), rows)
 
 
@@ -285,14 +304,14 @@ def n1(spark, d):
 def n6(spark, d):
     from tessera.operators.features import label
 
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     rows = label(v.preds, v.truth).withColumn("y", F.col("label").cast("double")).persist()
     return models.calibrate(rows, rows)
 
 
 @query("n7_stack", "s1_id:s cand_id:s prob:d")
 def n7(spark, d):
-    rows = _numeric(Views(spark, d, whole=True)).persist()
+    rows = _numeric(Views(spark, d)).persist()
     return models.stack(rows, rows, ["name_sim", "addr_sim"])
 
 
@@ -302,7 +321,7 @@ def d1(spark, d):
     from tessera.functions.similarity import register
 
     register(spark)
-    Views(spark, d, whole=True).pairs.createOrReplaceTempView("similarity_pairs")
+    Views(spark, d).pairs.createOrReplaceTempView("similarity_pairs")
     return spark.sql("SELECT s1_id, cand_id, token_set_ratio(n_core, n_core_c) AS tset, partial_ratio(n_core, n_core_c) AS partial FROM similarity_pairs")
 
 
@@ -316,7 +335,7 @@ def m17(spark, d):
 
 @query("m13_loco", "trained_on:s tested_on:s t_source:d f_source:d t_target:d f_target:d")
 def m13(spark, d):
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     rows = _numeric(v).join(v.spine, "s1_id").persist()
     countries = sorted(r.country for r in tables.countries(v.spine).collect() if r.country is not None)
     return evaluation.loco(rows, FEATURES, v.truth, v.spine, countries, rounds=3, depth=2)
@@ -324,7 +343,7 @@ def m13(spark, d):
 
 @query("m14_adversarial", "auc:d")
 def m14(spark, d):
-    rows = _numeric(Views(spark, d, whole=True)).persist()
+    rows = _numeric(Views(spark, d)).persist()
     auc = evaluation.adversarial_auc(rows.where("cand_src = 0"), rows.where("cand_src = 1"), [f for f in FEATURES if f != "cand_src"], folds=2, rounds=3, depth=2)
     return spark.createDataFrame([(auc,)], "auc double")
 
@@ -337,5 +356,5 @@ def m14_quantiles(spark, d):
 
 @query("m15_templated_streets", "s1_id:s cand_id:s street_sim:d")
 def m15(spark, d):
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     return evaluation.templated_streets(v.pairs, v.s1, 0.02)

@@ -82,7 +82,7 @@ SUB = "(length(a_house) = length(a_house_c) AND len(list_filter(range(1, length(
 
 @query("h_house_rel", "s1_id:s cand_id:s house_rel:i", f"""{WP} SELECT s1_id, cand_id, CASE WHEN a_house = '' AND a_house_c = '' THEN 8 WHEN a_house = '' OR a_house_c = '' THEN 7 WHEN a_house = a_house_c THEN 0 WHEN ltrim(a_house, '0') = ltrim(a_house_c, '0') THEN 3
  WHEN ends_with(a_house, a_house_c) OR ends_with(a_house_c, a_house) THEN 1 WHEN starts_with(a_house, a_house_c) OR starts_with(a_house_c, a_house) THEN 2 WHEN {SUB} THEN 4
- WHEN length(a_house) < 9 AND length(a_house_c) < 9 AND abs(TRY_CAST(a_house AS BIGINT) - TRY_CAST(a_house_c AS BIGINT)) <= 10 THEN 5 ELSE 6 END AS house_rel FROM pairs""")
+ WHEN length(regexp_replace(a_house, '[^0-9]', '', 'g')) < 9 AND length(regexp_replace(a_house_c, '[^0-9]', '', 'g')) < 9 AND abs(TRY_CAST(regexp_replace(a_house, '[^0-9]', '', 'g') AS BIGINT) - TRY_CAST(regexp_replace(a_house_c, '[^0-9]', '', 'g') AS BIGINT)) <= 10 THEN 5 ELSE 6 END AS house_rel FROM pairs""")
 def h_house(spark, d):
     return Views(spark, d).pairs.select("s1_id", "cand_id", features.house_rel().alias("house_rel"))
 
@@ -108,12 +108,12 @@ def h_rank_gap(spark, d):
 @query("h_similarities", "s1_id:s cand_id:s name_tset:d name_tsort:d name_ratio:d name_partial:d comp_jw:d comp_partial:d alias_tset:d addr_tset:d addr_ratio:d street_tset:d")
 def h_similarities(spark, d):
     """D1 to D5 on pairs."""
-    return features.similarities(Views(spark, d, whole=True).pairs)
+    return features.similarities(Views(spark, d).pairs)
 
 
 @query("h_featurize", "s1_id:s cand_id:s name_tset:d addr_tset:d house_rel:i num_jacc:d name_rank_in_s1:i name_gap_s1:d n_cand_s1:i")
 def h_featurize(spark, d):
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     return features.featurize(v.candidates, v.s1, v.pool)
 
 
@@ -218,7 +218,7 @@ def i7(spark, d):
     """All context groups with the token-set similarity of names."""
     from tessera.functions.similarity import udf
 
-    v = Views(spark, d, whole=True)
+    v = Views(spark, d)
     p = v.pairs.withColumn("name_tset", udf("token_set_ratio")("n_core", "n_core_c"))
     return context.add_features(p, context.split_context(v.s1, v.pool), ("G1", "G2", "G3", "G4", "G5", "G6"), 4)
 

@@ -9,7 +9,7 @@ from tessera.functions.hashing import md5_mod, md5_unit
 from tessera.functions.similarity import udf
 from tessera.operators import blocking, metrics
 from tessera.plans.registry import query
-from tessera.plans.views import PAIRS, RECORDS, Views, key, tok
+from tessera.plans.views import BASE, CORE, HS, KEYS, NAME_NUMBERS, PAIRS, RECORDS, Views, branch, key, skeleton_sql, tok
 from tessera.sources import fixtures, sinks, tables
 
 W = f"WITH {RECORDS}"
@@ -28,11 +28,11 @@ def a4(spark, d):
     return tables.stack_sources({k: v.drop("source") for k, v in parts.items()}).groupBy("source", "country").agg(F.count("*").alias("n"))
 
 
-@query("a5_truth_of_ids", "s1_id:s match_id:s", f"{WP} SELECT t.s1_id, t.match_id FROM truth t WHERE t.s1_id IN (SELECT entity_id FROM s1 WHERE doc_id % 2 = 0)")
+@query("a5_truth_of_ids", "s1_id:s match_id:s", f"{WP} SELECT t.s1_id, t.match_id FROM truth t WHERE md5_number_upper(t.s1_id) % 5 = 0")
 def a5(spark, d):
     v = Views(spark, d)
     raw = v.truth.groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.array_join(F.collect_list("match_id"), ",").alias("matched_entity_ids"))
-    return tables.truth_pairs(raw, v.s1.where("doc_id % 2 = 0").select(F.col("entity_id").alias("s1_id")))
+    return tables.truth_pairs(raw, tables.folds(v.spine, v.truth).where("fold = 0").select("s1_id"))
 
 
 @query("a6_truth_sets", "s1_id:s n:i matches:s", f"{WP} SELECT s.s1_id, count(t.match_id) AS n, coalesce(string_agg(t.match_id, ',' ORDER BY t.match_id), '') AS matches FROM spine s LEFT JOIN truth t ON t.s1_id = s.s1_id GROUP BY s.s1_id")
@@ -97,12 +97,12 @@ def c16(spark, d):
     return tables.folds(v.spine, v.truth)
 
 
-UNIT = "((CAST(('0x' || substr(md5({0} || 'orphan'), 1, 16)) AS UBIGINT) % 1000) * 616 + CAST(('0x' || substr(md5({0} || 'orphan'), 17, 16)) AS UBIGINT) % 1000) % 1000 / 1000.0"
+UNIT = "((CAST(('0x' || substr(md5({0} || '|orphan'), 1, 16)) AS UBIGINT) % 1000) * 616 + CAST(('0x' || substr(md5({0} || '|orphan'), 17, 16)) AS UBIGINT) % 1000) % 1000 / 1000.0"
 
 
 @query("c17_unit_md5", "entity_id:s u:d", f"{W} SELECT entity_id, {UNIT.format('entity_id')} AS u FROM s1")
 def c17(spark, d):
-    return Views(spark, d).s1.select("entity_id", md5_unit(F.col("entity_id"), "orphan").alias("u"))
+    return Views(spark, d).s1.select("entity_id", md5_unit(F.col("entity_id"), "|orphan").alias("u"))
 
 
 @query("d5_jaro_winkler", "s1_id:s cand_id:s jw:d", f"{WP} SELECT s1_id, cand_id, jaro_winkler_similarity(n_compact, n_compact_c) AS jw FROM pairs")
@@ -128,7 +128,6 @@ def d9(spark, d):
     return Views(spark, d).pairs.select("s1_id", "cand_id", text.jaccard(text.tokens("a_numbers"), text.tokens("a_numbers_c")).alias("num_jacc"))
 
 
-CORE = f"core AS (SELECT entity_id, country, source, unnest(list_distinct(list_filter({tok('n_core')}, lambda t: length(t) >= 3))) AS t FROM drec), tdf AS (SELECT country, t, count(*) AS df FROM core WHERE source <> 1 GROUP BY ALL)"
 
 
 @query("e1_token_df", "country:s t:s df:i", f"{W}, {CORE} SELECT country, t, df FROM tdf")
@@ -136,17 +135,6 @@ def e1(spark, d):
     return blocking.token_df(Views(spark, d).pool)
 
 
-STOP = ", ".join(f"'{w}'" for w in text.STREET_STOP)
-CAPS = {"A": 4, "N1": 5, "N2": 4, "C": 4}
-KEYS = f"""{CORE}, rare AS (SELECT c.entity_id, c.country, c.source, c.t, row_number() OVER (PARTITION BY c.country, c.entity_id ORDER BY coalesce(f.df, 0), c.t) AS r FROM core c LEFT JOIN tdf f ON f.country = c.country AND f.t = c.t),
-keys AS (
- SELECT DISTINCT entity_id, country, source, 'A' AS kt, a_house || '|' || t AS key FROM (SELECT entity_id, country, source, a_house, unnest({tok('a_street')}) AS t FROM drec WHERE a_house <> '') WHERE length(t) >= 4 AND t NOT IN ({STOP})
- UNION SELECT entity_id, country, source, 'N1', t FROM rare WHERE r = 1
- UNION SELECT entity_id, country, source, 'N2', string_agg(t, '|' ORDER BY t) FROM rare WHERE r <= 2 GROUP BY ALL HAVING count(*) = 2
- UNION SELECT entity_id, country, source, 'C', substr(n_compact, 1, 10) FROM drec WHERE length(n_compact) >= 6
- UNION SELECT entity_id, country, source, 'C', substr(replace(n_alias, ' ', ''), 1, 10) FROM drec WHERE length(n_alias) >= 6),
-caps(kt, cap, bit) AS (VALUES ('A', 4, 1), ('N1', 5, 2), ('N2', 4, 4), ('C', 4, 8)),
-capped AS (SELECT k.* FROM keys k JOIN (SELECT country, kt, key, count(*) AS n FROM keys WHERE source <> 1 GROUP BY ALL) g ON g.country = k.country AND g.kt = k.kt AND g.key = k.key JOIN caps c ON c.kt = k.kt WHERE k.source <> 1 AND g.n <= c.cap)"""
 
 
 @query("e2_make_keys", "entity_id:s kt:s key:s", f"{W}, {KEYS} SELECT entity_id, kt, key FROM keys")
@@ -158,13 +146,13 @@ def e2(spark, d):
 @query("e3_cap_keys", "entity_id:s kt:s key:s", f"{W}, {KEYS} SELECT entity_id, kt, key FROM capped")
 def e3(spark, d):
     v = Views(spark, d)
-    return blocking.cap_keys(blocking.make_keys(v.pool, blocking.token_df(v.pool)), CAPS)
+    return blocking.cap_keys(blocking.make_keys(v.pool, blocking.token_df(v.pool)))
 
 
 @query("e4_keys_v0", "s1_id:s cand_id:s kmask:i", f"{W}, {KEYS} SELECT q.entity_id AS s1_id, p.entity_id AS cand_id, bit_or(c.bit) AS kmask FROM keys q JOIN capped p ON p.country = q.country AND p.kt = q.kt AND p.key = q.key JOIN caps c ON c.kt = q.kt WHERE q.source = 1 GROUP BY ALL")
 def e4(spark, d):
     v = Views(spark, d)
-    return blocking.keys_v0(v.s1, v.pool, CAPS)
+    return blocking.keys_v0(v.s1, v.pool)
 
 
 def joined(expr: str, cap: int, least: int = 1, pool: str = "pool") -> str:
@@ -174,70 +162,53 @@ g AS (SELECT country, key FROM k WHERE source <> 1 AND length(key) >= {least} GR
 SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM k a JOIN k b ON b.country = a.country AND b.key = a.key JOIN g ON g.country = b.country AND g.key = b.key WHERE a.source = 1 AND b.source <> 1"""
 
 
-@query("e5a_akey", "s1_id:s cand_id:s", f"{W}, {joined(key('a_full'), 10)}")
+@query("e5a_akey", "s1_id:s cand_id:s", f"{W}, {joined(key('a_full'), 100)}")
 def e5a(spark, d):
     v = Views(spark, d)
-    return blocking.akey(v.s1, v.pool, 10)
+    return blocking.akey(v.s1, v.pool)
 
 
-STREET = f"array_to_string(list_sort(list_distinct(list_filter({tok('a_street')}, lambda t: length(t) >= 3 AND t NOT IN ({STOP})))), ' ')"
-HS = f"CASE WHEN ltrim(a_house, '0') <> '' AND {STREET} <> '' THEN ltrim(a_house, '0') || '|' || {STREET} ELSE '' END"
 
 
-@query("e5b_hskey", "s1_id:s cand_id:s", f"{W}, {joined(HS, 10)}")
+@query("e5b_hskey", "s1_id:s cand_id:s", f"{W}, {joined(HS, 100)}")
 def e5b(spark, d):
     v = Views(spark, d)
-    return blocking.hskey(v.s1, v.pool, 10)
+    return blocking.hskey(v.s1, v.pool)
 
 
-def _skeleton_sql() -> str:
-    s = "regexp_replace(lower(n_core), '[^a-z ]', '', 'g')"
-    for a, b in text.SKELETON_SUBSTITUTIONS:
-        s = f"replace({s}, '{a}', '{b}')"
-    s = f"array_to_string((list_filter(string_split(regexp_replace({s}, '[aeiouy]', '', 'g'), ' '), lambda t: t <> ''))[1:2], '|')"
-    for ch in text.SKELETON_LETTERS:
-        s = f"regexp_replace({s}, '{ch}+', '{ch}', 'g')"
-    return s
 
 
-@query("e5c_skel", "s1_id:s cand_id:s", f"{W}, {joined(_skeleton_sql(), 10, 4)}")
+@query("e5c_skel", "s1_id:s cand_id:s", f"{W}, {joined(skeleton_sql(), 100, 4)}")
 def e5c(spark, d):
     v = Views(spark, d)
-    return blocking.skel(v.s1, v.pool, 10)
+    return blocking.skel(v.s1, v.pool)
 
 
-@query("e5d_nkey_empty", "s1_id:s cand_id:s", f"{W}, nowhere AS (SELECT * FROM pool WHERE a_empty), {joined(key('n_core'), 10, 3, 'nowhere')}")
+@query("e5d_nkey_empty", "s1_id:s cand_id:s", f"{W}, nowhere AS (SELECT * FROM pool WHERE a_empty), {joined(key('n_core'), 300, 3, 'nowhere')}")
 def e5d(spark, d):
     v = Views(spark, d)
-    return blocking.nkey_empty(v.s1, v.pool, 10)
+    return blocking.nkey_empty(v.s1, v.pool)
 
 
-@query("e5e_nkey_num", "s1_id:s cand_id:s", f"""{W}, nk AS (SELECT entity_id, country, source, array_to_string(list_sort(list_distinct({tok('n_core')})), ' ') AS nk, unnest(list_distinct(list_filter(list_transform(string_split(regexp_replace(a_numbers, '[/-]', ' ', 'g'), ' '), lambda t: ltrim(t, '0')), lambda t: t <> ''))) AS num FROM drec),
-k AS (SELECT DISTINCT entity_id, country, source, nk || '|' || num AS key FROM nk WHERE nk <> ''), g AS (SELECT country, key FROM k WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 10)
+@query("e5e_nkey_num", "s1_id:s cand_id:s", f"""{W}, k AS ({NAME_NUMBERS}), g AS (SELECT country, key FROM k WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 50)
 SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM k a JOIN k b ON b.country = a.country AND b.key = a.key JOIN g ON g.country = b.country AND g.key = b.key WHERE a.source = 1 AND b.source <> 1""")
 def e5e(spark, d):
     v = Views(spark, d)
-    return blocking.nkey_num(v.s1, v.pool, 10)
+    return blocking.nkey_num(v.s1, v.pool)
 
 
-@query("e5f_prefix_key", "s1_id:s cand_id:s", f"{W}, {joined(chr(39).join(['country || ', '|', ' || substr(n_compact, 1, 8)']), 10, 5)}")
+@query("e5f_prefix_key", "s1_id:s cand_id:s", f"{W}, {joined(chr(39).join(['country || ', '|', ' || substr(n_compact, 1, 8)']), 300, 5)}")
 def e5f(spark, d):
     v = Views(spark, d)
-    return blocking.prefix_key(v.s1, v.pool, 10)
+    return blocking.prefix_key(v.s1, v.pool)
 
 
-
-def _branch(name: str, expr: str, cap: int, least: int, bit: int) -> str:
-    return f"""{name} AS (WITH k AS (SELECT entity_id, country, source, {expr} AS key FROM drec), g AS (SELECT country, key FROM k WHERE source <> 1 AND length(key) >= {least} GROUP BY ALL HAVING count(*) <= {cap})
-SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id, {bit} AS bit FROM k a JOIN k b ON b.country = a.country AND b.key = a.key JOIN g ON g.country = b.country AND g.key = b.key WHERE a.source = 1 AND b.source <> 1)"""
-
-
-RBITS = f"""{_branch("ra", key("a_full"), 10, 1, 8)}, {_branch("rh", HS, 10, 1, 16)}, {_branch("rs", _skeleton_sql(), 10, 4, 64)},
+RBITS = f"""{branch("ra", key("a_full"), 100, 1, 8)}, {branch("rh", HS, 100, 1, 16)}, {branch("rs", skeleton_sql(), 100, 4, 64)},
 cands AS (SELECT s1_id, cand_id, bit_or(bit) AS rbits FROM (SELECT * FROM ra UNION ALL SELECT * FROM rh UNION ALL SELECT * FROM rs) GROUP BY ALL)"""
 
 
 def unioned(v: Views):
-    return blocking.union({"akey": blocking.akey(v.s1, v.pool, 10), "hskey": blocking.hskey(v.s1, v.pool, 10), "skel": blocking.skel(v.s1, v.pool, 10)})
+    return blocking.union({"akey": blocking.akey(v.s1, v.pool), "hskey": blocking.hskey(v.s1, v.pool), "skel": blocking.skel(v.s1, v.pool)})
 
 
 @query("e15_union", "s1_id:s cand_id:s rbits:i", f"{W}, {RBITS} SELECT s1_id, cand_id, rbits FROM cands")
@@ -245,15 +216,15 @@ def e15(spark, d):
     return unioned(Views(spark, d))
 
 
-@query("e17_cap", "s1_id:s cand_id:s", f"{WP} SELECT s1_id, cand_id FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM preds) WHERE r <= 3")
+@query("e17_cap", "s1_id:s cand_id:s", f"{WP} SELECT s1_id, cand_id FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM preds) WHERE r <= 20")
 def e17(spark, d):
-    return blocking.cap_per_query(Views(spark, d).preds, "prob", 3)
+    return blocking.cap_per_query(Views(spark, d).preds, "prob", 20)
 
 
-@query("e20_augment", "s1_id:s cand_id:s rbits:i", f"{W}, {RBITS}, {_branch('rc', 'substr(n_compact, 1, 8)', 10, 5, 512)} SELECT coalesce(c.s1_id, n.s1_id) AS s1_id, coalesce(c.cand_id, n.cand_id) AS cand_id, coalesce(c.rbits, 0) | coalesce(n.bit, 0) AS rbits FROM cands c FULL JOIN rc n ON n.s1_id = c.s1_id AND n.cand_id = c.cand_id")
+@query("e20_augment", "s1_id:s cand_id:s rbits:i", f"{W}, {RBITS}, {branch('rc', 'substr(n_compact, 1, 8)', 300, 5, 512)} SELECT coalesce(c.s1_id, n.s1_id) AS s1_id, coalesce(c.cand_id, n.cand_id) AS cand_id, coalesce(c.rbits, 0) | coalesce(n.bit, 0) AS rbits FROM cands c FULL JOIN rc n ON n.s1_id = c.s1_id AND n.cand_id = c.cand_id")
 def e20(spark, d):
     v = Views(spark, d)
-    return blocking.augment(unioned(v), blocking.key_join(v.s1, v.pool, F.substring("n_compact", 1, 8), 10, 5), blocking.RBITS["nkey_num"])
+    return blocking.augment(unioned(v), blocking.key_join(v.s1, v.pool, F.substring("n_compact", 1, 8), 300, 5), blocking.RBITS["nkey_num"])
 
 
 @query("m6_marginal_recall", "retriever:s pairs:i alone:d marginal:d", f"""{WP}, {RBITS}, m AS (SELECT coalesce(c.rbits, 0) AS b FROM truth t LEFT JOIN cands c ON c.s1_id = t.s1_id AND c.cand_id = t.match_id)
@@ -281,11 +252,11 @@ def a9(spark, d):
     return tables.audit_samples(v.records, v.truth, 20, 30)
 
 
-@query("a14_cache_union", "s1_id:s cand_id:s rbits:i kmask:i is_es:b", f"""{W}, {RBITS}, {_branch('rc', 'substr(n_compact, 1, 8)', 10, 5, 3)}
+@query("a14_cache_union", "s1_id:s cand_id:s rbits:i kmask:i is_es:b", f"""{W}, {RBITS}, {branch('rc', 'substr(n_compact, 1, 8)', 300, 5, 3)}
 SELECT s1_id, cand_id, rbits, rbits & 15 AS kmask, false AS is_es FROM cands UNION ALL SELECT s1_id, cand_id, bit, 7, CAST(substr(s1_id, 4) AS INT) % 2 = 0 FROM rc""")
 def a14(spark, d):
     v = Views(spark, d)
-    late = blocking.key_join(v.s1, v.pool, F.substring("n_compact", 1, 8), 10, 5).withColumns({"rbits": F.lit(3), "kmask": F.lit(7), "role": F.when(F.substring("s1_id", 4, 20).cast("int") % 2 == 0, "es").otherwise("train")})
+    late = blocking.key_join(v.s1, v.pool, F.substring("n_compact", 1, 8), 300, 5).withColumns({"rbits": F.lit(3), "kmask": F.lit(7), "role": F.when(F.substring("s1_id", 4, 20).cast("int") % 2 == 0, "es").otherwise("train")})
     return tables.load_cache([unioned(v), late])
 
 
@@ -294,7 +265,7 @@ def a23(spark, d):
     return tables.text_export(Views(spark, d).s1, 100)
 
 
-@query("e18_candidates", "s1_id:s cand_id:s rbits:i kmask:i")
+@query("e18_candidates", "s1_id:s cand_id:s rbits:i kmask:i", f"{W}, {BASE} SELECT b.s1_id, b.cand_id, b.rbits, coalesce(m.kmask, 0) AS kmask FROM base b LEFT JOIN b_keys m ON m.s1_id = b.s1_id AND m.cand_id = b.cand_id")
 def e18(spark, d):
     """All exact-key retrievers at their own caps, in one plan."""
     v = Views(spark, d)

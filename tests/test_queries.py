@@ -6,6 +6,10 @@ from tessera.catalog import ORACLE_SQL, QUERIES
 from tests.oracle import connect, differ
 
 
+#: Without rows on the smallest tables alone.
+MAY_BE_EMPTY = {"n8_token_map"}
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)
@@ -14,13 +18,15 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, con, sf, name):
     assert differ(spark, con, QUERIES[name], ORACLE_SQL[name], sf) == ""
+    if name not in MAY_BE_EMPTY:
+        assert con.execute(f"SELECT count(*) FROM ({ORACLE_SQL[name]})").fetchone()[0] > 0
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
 def test_query_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.schema == QUERIES[name](spark, sf).schema
-    assert df.count() >= 0
+    assert df.count() > 0
 
 
 def test_entry(spark):
