@@ -63,10 +63,11 @@ def poisson_binomial(probs: np.ndarray) -> np.ndarray:
 
 
 def expected_f05(probs: np.ndarray, most: int = 30) -> np.ndarray:
-    """Expected F0.5 of predicting the k most probable of a list in descending order, for k = 0 .. most."""
-    p = np.asarray(probs, float)
+    """Expected F0.5 of predicting the k most probable of a list in descending order, for k = 0 .. most; only the `most` best
+    count as candidates at all."""
+    p = np.asarray(probs, float)[:most]
     out = [float(np.prod(1 - p))]
-    for k in range(1, min(most, len(p)) + 1):
+    for k in range(1, len(p) + 1):
         inside, outside = poisson_binomial(p[:k]), poisson_binomial(p[k:])
         tp, fn = np.arange(k + 1)[:, None], np.arange(len(outside))[None, :]
         score = (1 + BETA2) * tp / ((1 + BETA2) * tp + BETA2 * fn + (k - tp))
@@ -75,7 +76,10 @@ def expected_f05(probs: np.ndarray, most: int = 30) -> np.ndarray:
 
 
 def expected_f05_matches(assigned: DataFrame, most: int = 30) -> DataFrame:
-    """(s1_id, cand_id, k, expected): the prefix of each S1's candidates that maximises expected F0.5."""
+    """(s1_id, cand_id, k, expected): the prefix of each S1's `most` best candidates that maximises expected F0.5. Only these
+    reach a Python task."""
+    rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("prob"), "cand_id"))
+    assigned = assigned.select("s1_id", "cand_id", "prob", rank.alias("_r")).where(F.col("_r") <= most)
 
     def best(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["prob", "cand_id"], ascending=[False, True])
@@ -216,6 +220,21 @@ def band_stack(preds: DataFrame, model: str = "prob", other: str = "xenc", low:
     return preds.withColumn("prob", F.when(inside, 1 / (1 + F.exp(-z))).otherwise(F.col(model)))
 
 
+def compare_rules(tuned: dict[str, DataFrame], frozen: dict[str, DataFrame], truth: DataFrame, spine: DataFrame) -> DataFrame:
+    """(rule, params, macro): macro F0.5 of the matches (s1_id, match_id) of each decision rule, with parameters tuned on
+    these entities and with parameters frozen before. Entities without a match count."""
+    n_true = truth.distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
+    hits = truth.distinct().withColumn("hit", F.lit(1))
+    named = [(r, p, m) for p, rules in (("tuned", tuned), ("frozen", frozen)) for r, m in rules.items()]
+    every = reduce(DataFrame.unionByName, [m.select("s1_id", "match_id").distinct().withColumns({"rule": F.lit(r), "params": F.lit(p)}) for r, p, m in named])
+    got = every.join(hits, ["s1_id", "match_id"], "left").groupBy("rule", "params", "s1_id").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("params")) for r, p, _ in named]))
+    rows = spine.select("s1_id", cells.alias("c")).select("s1_id", "c.*").join(got, ["rule", "params", "s1_id"], "left").join(n_true, "s1_id", "left").na.fill(0)
+    return rows.groupBy("rule", "params").agg(F.avg(f05(F.col("tp"), F.col("n_true"), F.col("n_pred"))).alias("macro"))
+
+
 def splice(base: DataFrame, other: DataFrame, ids: DataFrame) -> DataFrame:
-    """base's rows, but other's for the S1 in ids."""
+    """base's rows, but other's for the S1 in ids, each of which must be there once."""
+    if ids.groupBy("s1_id").count().where("count > 1").limit(1).count():
+        raise ValueError("an S1 is listed twice")
     return base.join(ids, "s1_id", "left_anti").unionByName(other.join(ids, "s1_id", "left_semi"))

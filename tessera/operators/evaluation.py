@@ -64,12 +64,13 @@ def feature_quantiles(rows: DataFrame, features: list[str], at: tuple[float, ...
 
 def templated_streets(pairs: DataFrame, s1: DataFrame, share: float = 0.003, least: float = 50.0) -> DataFrame:
     """Pairs whose streets differ in their significant words: those that are no numbers and stand in no more than
-    `share` of the S1 streets. Token-set similarity below `least`; words of neither side count as alike."""
-    words = s1.select("entity_id", F.explode(token_set("a_street")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    common = words.join(F.broadcast(s1.agg(F.count("*").alias("total")))).where(F.col("n") > F.col("total") * share).select("w")
+    `share` of the S1 streets of the pair's country. Token-set similarity below `least`; words of neither side count as alike."""
+    words = s1.select("country", F.explode(token_set("a_street")).alias("w")).groupBy("country", "w").agg(F.count("*").alias("n"))
+    total = s1.groupBy("country").agg(F.count("*").alias("total"))
+    common = words.join(total, "country").where(F.col("n") > F.col("total") * share).select("country", "w")
 
     def significant(side: str, name: str) -> DataFrame:
-        w = pairs.select("s1_id", "cand_id", F.posexplode(token_set(side)).alias("at", "w")).where(~F.col("w").rlike("^[0-9]+$")).join(common, "w", "left_anti")
+        w = pairs.select("s1_id", "cand_id", "country", F.posexplode(token_set(side)).alias("at", "w")).where(~F.col("w").rlike("^[0-9]+$")).join(common, ["country", "w"], "left_anti")
         return w.groupBy("s1_id", "cand_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]), " ").alias(name))
 
     both = pairs.select("s1_id", "cand_id").join(significant("a_street", "x"), ["s1_id", "cand_id"]).join(significant("a_street_c", "y"), ["s1_id", "cand_id"])

@@ -40,14 +40,15 @@ def substitution(a: Column, b: Column) -> Column:
 
 def house_rel(a: str = "a_house", b: str = "a_house_c") -> Column:
     """Codes: 8 both empty, 7 one empty, 0 equal, 3 equal without leading zeros, 1 suffix, 2 prefix, 4 one substitution,
-    5 numbers within 10 (below nine digits), 6 other."""
+    5 digits of each as numbers within 10 (eight digits at most), 6 other."""
     x, y = text(a), text(b)
-    near = F.abs(F.expr(f"try_cast({a} as bigint)") - F.expr(f"try_cast({b} as bigint)")) <= 10
-    digits = x.rlike("^[0-9]{1,8}$") & y.rlike("^[0-9]{1,8}$")
+    p, q = (F.regexp_replace(s, "[^0-9]", "") for s in (x, y))
+    short = (F.char_length(p).between(1, 8)) & (F.char_length(q).between(1, 8))
+    near = short & (F.abs(p.try_cast("bigint") - q.try_cast("bigint")) <= 10)
     return (
         F.when((x == "") & (y == ""), 8).when((x == "") | (y == ""), 7).when(x == y, 0).when(unpadded(a) == unpadded(b), 3)
         .when(x.endswith(y) | y.endswith(x), 1).when(x.startswith(y) | y.startswith(x), 2).when(substitution(x, y), 4)
-        .when(digits & F.coalesce(near, F.lit(False)), 5).otherwise(6)
+        .when(F.coalesce(near, F.lit(False)), 5).otherwise(6)
     )
 
 

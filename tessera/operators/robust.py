@@ -50,7 +50,7 @@ def twin_flag(s1: DataFrame) -> DataFrame:
 VARIANTS = ("uniform", "biased", "twin")
 
 
-def removal_mask(s1: DataFrame, rate: float, variant: str = "uniform", salt: str = "orphan") -> DataFrame:
+def removal_mask(s1: DataFrame, rate: float, variant: str = "uniform", salt: str = "|orphan") -> DataFrame:
     """entity_id and removed: whether a simulation takes the S1 away, from md5 of its id alone.
 
     biased doubles the rate of S1 that share an address and halves the others', rescaled to the rate on average; twin

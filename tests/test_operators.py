@@ -80,7 +80,7 @@ def test_similarities():
 
 
 def test_house_codes(spark):
-    cases = [("", "", 8), ("1", "", 7), ("12", "12", 0), ("08", "8", 3), ("112", "12", 1), ("12", "125", 2), ("128", "148", 4), ("98", "104", 5), ("10", "999", 6), ("1a", "2b", 6)]
+    cases = [("", "", 8), ("1", "", 7), ("12", "12", 0), ("08", "8", 3), ("112", "12", 1), ("12", "125", 2), ("128", "148", 4), ("98", "104", 5), ("10", "999", 6), ("1a", "2b", 5), ("12a", "15", 5), ("a", "b", 4), ("ab", "cd", 6), ("1a", "", 7), ("123456789", "123456780x", 6)]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a_house string, a_house_c string").select(features.house_rel().alias("r"))
     assert [r.r for r in df.collect()] == [c for *_, c in cases]
 
