@@ -86,6 +86,35 @@ def featurize(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     return rank_gap(built_in(similarities(attach(pairs, s1, pool))))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left with right's columns; a key that either side has twice, or that right lacks, is an error."""
+    for name, df in (("left", left), ("right", right)):
+        if df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            raise ValueError(f"the {name} side has a key twice")
+    if left.join(right, key, "left_anti").limit(1).count():
+        raise ValueError("a key has no partner")
+    return left.join(right, key)
+
+
+def with_cosines(pairs: DataFrame, bands: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the encoder cosines of those in the uncertain band (s1_id, cand_id, columns), null for the others."""
+    return pairs.join(bands.select("s1_id", "cand_id", *columns), ["s1_id", "cand_id"], "left")
+
+
+#: Feature groups by the beginnings of their names; the first that fits is a feature's group.
+GROUPS = {"G7": ("ps_", "xs_"), "G6": ("twin_",), "G5": ("sib_",), "G4": ("house_", "sec_num", "postcode_"), "G3": ("ex_", "mi_", "edit_", "sub_", "first_tok", "s1_prefix", "c_prefix"), "G2": ("s1_addr", "pool_addr", "s1_hs", "a_key", "hs_key"), "G1": ("s1_name", "pool_name", "n_key")}
+
+
+def group_of(feature: str) -> str:
+    """The context group of a feature; base for those of the base block."""
+    return "base" if feature == "house_rel" else next((g for g, starts in GROUPS.items() if feature.startswith(starts)), "base")
+
+
+def without_groups(features: list[str], *groups: str) -> list[str]:
+    """The features that an ablation of the groups leaves."""
+    return [f for f in features if group_of(f) not in groups]
+
+
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """label: whether the pair is in truth (s1_id, match_id)."""
     marked = truth.select("s1_id", F.col("match_id").alias("cand_id"), F.lit(True).alias("label")).distinct()

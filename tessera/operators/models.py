@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
@@ -74,6 +74,20 @@ def apply_token_map(records: DataFrame, mapping: DataFrame, column: str = "n_cor
     return records.join(new, "entity_id", "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def save_token_map(mapping: DataFrame, path: str) -> None:
+    """A token map as JSON lines, in the shared store."""
+    mapping.select("src", "dst").orderBy("src").write.mode("overwrite").json(path)
+
+
+def load_token_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("src string, dst string").json(path)
+
+
+def score_stream(model: PipelineModel, rows: DataFrame, floor: float) -> DataFrame:
+    """Candidates with a probability of floor or more, an S1's whole list in one partition of the scan's output."""
+    return score(model, rows).where(F.col("prob") >= floor).repartition("s1_id")
+
+
 def hard_negatives(labeled: DataFrame, hardest: int = 6, others: int = 2) -> DataFrame:
     """All positives, each S1's most probable negatives, and a few more in hash order."""
     neg = labeled.where(~F.col("label"))

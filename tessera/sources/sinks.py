@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def match_lists(matches: DataFrame, spine: DataFrame) -> DataFrame:
+def match_lists(matches: DataFrame, spine: DataFrame, order: str | None = None) -> DataFrame:
     """source1_entity_id, matched_entity_ids and the spine's place: one row for each S1 of spine (s1_id, place).
 
-    Ids are stripped, repeated ones kept once, others than S2- and S3- dropped. Unknown S1 raise.
+    Ids are stripped, repeated ones kept once, others than S2- and S3- dropped. Unknown S1 raise. Ids stand in the order of
+    the column `order` of matches, a repeated one at its first place; without it they are sorted.
     """
     unknown = matches.join(spine, "s1_id", "left_anti").limit(1).collect()
     if unknown:
         raise ValueError(f"unknown S1 {unknown[0].s1_id}")
     m = matches.withColumn("match_id", F.trim("match_id")).where(F.col("match_id").rlike("^S[23]-"))
-    lists = m.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("match_id")), ",").alias("matched_entity_ids"))
+    first = m.groupBy("s1_id", "match_id").agg((F.min(order) if order else F.lit(0)).alias("at"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("at", "match_id"))), lambda x: x["match_id"])
+    lists = first.groupBy("s1_id").agg(F.array_join(ids, ",").alias("matched_entity_ids"))
     return spine.join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"), "place")
 
 

@@ -233,3 +233,49 @@ def test_tsv(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"a ""b"""\t\tUS\nS1-2\tNA\tx\t\n')
     rows = tables.read_tsv(spark, f"{tmp_path}/s.tsv", tables.RAW).collect()
     assert rows[0].business_name == 'a "b"' and rows[0].business_address == "" and rows[1].business_name == "NA" and rows[1].country == ""
+
+
+def test_one_to_one(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, l string"), spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "k int, r string")
+    assert sorted(values(features.one_to_one(a, b, ["k"]))) == [(1, "x", "p"), (2, "y", "q")]
+    for left, right in ((a, b.union(b)), (a.union(a), b), (b, a)):
+        with pytest.raises(ValueError):
+            features.one_to_one(left, right, ["k"])
+
+
+def test_feature_groups_and_cosines(spark):
+    assert [features.group_of(f) for f in ("ps_n", "twin_n", "sib_n", "house_lev", "ex_n", "s1_addr_c", "s1_name_c", "name_tset", "house_rel")] == ["G7", "G6", "G5", "G4", "G3", "G2", "G1", "base", "base"]
+    assert features.without_groups(["ps_n", "twin_n", "name_tset"], "G7", "G6") == ["name_tset"]
+    pairs, bands = spark.createDataFrame([("a", "x"), ("a", "y")], "s1_id string, cand_id string"), spark.createDataFrame([("a", "x", 0.5)], "s1_id string, cand_id string, cos double")
+    assert sorted(values(features.with_cosines(pairs, bands, ["cos"])), key=str) == [("a", "x", 0.5), ("a", "y", None)]
+
+
+def test_token_map_files(spark, tmp_path):
+    mapping = spark.createDataFrame([("gret", "great", 3), ("phaum", "found", 4)], "src string, dst string, n int")
+    models.save_token_map(mapping, f"{tmp_path}/map")
+    assert sorted(values(models.load_token_map(spark, f"{tmp_path}/map"))) == [("gret", "great"), ("phaum", "found")]
+
+
+def test_match_lists_in_first_seen_order(spark, spine):
+    m = spark.createDataFrame([("a", "S3-9", 0), ("a", "S2-1", 1), ("a", "S3-9", 2), ("a", "S2-0", 3)], "s1_id string, match_id string, at int")
+    got = {r.source1_entity_id: r.matched_entity_ids for r in sinks.match_lists(m, spine.withColumn("place", F.ascii("s1_id")), "at").collect()}
+    assert got["a"] == "S3-9,S2-1,S2-0" and got["b"] == ""
+
+
+def test_removal_is_by_md5_of_id_and_salt(spark):
+    import hashlib
+
+    s1 = spark.createDataFrame([(f"S1-{k}",) for k in range(300)], "entity_id string")
+    got = {r.entity_id: r.removed for r in robust.removal_mask(s1, 0.3).collect()}
+    assert got == {i: int(hashlib.md5(f"{i}|orphan".encode()).hexdigest(), 16) % 1000 / 1000 < 0.3 for i in got}
+
+
+def test_rules_compared(spark, truth, spine):
+    right, none = truth, truth.limit(0)
+    got = {(r.rule, r.params): r.macro for r in decision.compare_rules({"thr": right}, {"thr": none}, truth, spine).collect()}
+    assert got == {("thr", "tuned"): 1.0, ("thr", "frozen"): 0.5}
+
+
+def test_expected_f05_keeps_the_best(spark):
+    p = np.linspace(0.99, 0.01, 60)
+    assert len(decision.expected_f05(p)) == 31 and decision.expected_f05(p)[5] == decision.expected_f05(p[:30])[5]
