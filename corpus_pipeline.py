@@ -41,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     component and all stay. A row stays though a copy of another row has its doc_id.
     """
     docs = docs.select(*COLUMNS).withColumn("_row", row())
-    found = jaccard.jaccard_components(docs, key="_row").where("n_shingles > 0")
+    found = jaccard.jaccard_components(docs, key="_row").where("n_shingles > 0").select("class", "_row", "doc_id")
+    found = written(found, "near-duplicate-classes")  # nothing stands on the join by class, so that a hot class of it can be split
     rows = found.groupBy("class", "_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     rows = written(rows, "near-duplicate-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
