@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def twin_flag(s1: DataFrame) -> DataFrame:
 
 VARIANTS = ("uniform", "biased", "twin")
 
+# Removal rate, variant, and whether the data is thinned to a target density first.
+SCENARIOS = {
+    "clean": (0.0, "uniform", False),
+    "u19": (0.19, "uniform", False),
+    "b19": (0.19, "biased", False),
+    "u30": (0.30, "uniform", False),
+    "b30": (0.30, "biased", False),
+    "t19": (0.19, "uniform", True),
+    "tclean": (0.0, "uniform", True),
+    "tw25": (0.25, "twin", False),
+    "tw50": (0.50, "twin", False),
+}
+
 
 def removal_mask(s1: DataFrame, rate: float, variant: str = "uniform", salt: str = "|orphan") -> DataFrame:
     """entity_id and removed: whether a simulation takes the S1 away, from md5 of its id alone.
@@ -94,3 +109,36 @@ def simulate(s1: DataFrame, preds: DataFrame, rate: float, variant: str) -> tupl
     gone = removal_mask(s1, rate, variant).where("removed").select("entity_id")
     left = s1.join(gone, "entity_id", "left_anti")
     return left, preds.join(gone.withColumnRenamed("entity_id", "s1_id"), "s1_id", "left_anti")
+
+
+def thinned(s1: DataFrame, pool: DataFrame, truth: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity_id) of S1 and of pool records that go when each country keeps a share (country, keep; 1 where absent) of its
+    S1 by md5 of the id: records go with their S1, those without an owner by their own id."""
+
+    def gone(df: DataFrame) -> DataFrame:
+        share = df.select("entity_id", "country").join(keep, "country", "left")
+        return share.where(md5_unit(F.col("entity_id"), "|thin") >= F.coalesce("keep", F.lit(1.0))).select("entity_id")
+
+    left_out = gone(s1)
+    owned = truth.join(left_out.withColumnRenamed("entity_id", "s1_id"), "s1_id", "left_semi").select(F.col("match_id").alias("entity_id"))
+    free = pool.join(truth.select(F.col("match_id").alias("entity_id")), "entity_id", "left_anti")
+    return left_out, owned.unionByName(gone(free)).distinct()
+
+
+def scenario(
+    s1: DataFrame, pool: DataFrame, truth: DataFrame, pairs: DataFrame, score: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], rate: float, variant: str, keep: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Surviving S1, surviving pool and the predictions of `score` on the surviving pairs.
+
+    Removed S1 leave their records behind; where keep is given, thinned S1 take theirs along. score gets the survivors, so
+    that what it derives from all S1 or all records is derived again.
+    """
+    gone = removal_mask(s1, rate, variant).where("removed").select("entity_id")
+    if keep is not None:
+        thin, records = thinned(s1, pool, truth, keep)
+        gone = gone.unionByName(thin)
+        pool = pool.join(records, "entity_id", "left_anti")
+        pairs = pairs.join(records.withColumnRenamed("entity_id", "cand_id"), "cand_id", "left_anti")
+    s1 = s1.join(gone, "entity_id", "left_anti")
+    pairs = pairs.join(gone.withColumnRenamed("entity_id", "s1_id"), "s1_id", "left_anti")
+    return s1, pool, score(s1, pool, pairs)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import decision, evaluation, features, metrics, models, robust
+from tessera.functions import text
+from tessera.operators import blocking, decision, evaluation, features, metrics, models, robust
 from tessera.plans.records import RBITS, UNIT, unioned
 from tessera.plans.registry import query
 from tessera.plans.views import PAIRS, RECORDS, SCORES, Views, f05_sql, key, tok
@@ -201,16 +205,19 @@ CASE WHEN a_empty_c THEN 'cand_addr_empty' WHEN a_house_c = '' THEN 'cand_no_hou
 STATES = ["cand_addr_empty", "cand_no_house", "house_equal", "house_zero_pad", "house_diff"]
 
 
+ADDRESS_BITS = blocking.RBITS["akey"] | blocking.RBITS["hskey"]
+
+
 def _missed(v: Views):
-    """Pairs of truth that three retrievers do not find, with the edit similarities of their names."""
-    cands = unioned(v).select("s1_id", "cand_id")
+    """Pairs of truth that the address retrievers do not find, with the edit similarities of their names."""
+    cands = unioned(v).where(F.col("rbits").bitwiseAND(ADDRESS_BITS) != 0).select("s1_id", "cand_id")
     missed = v.truth.withColumnRenamed("match_id", "cand_id").join(cands, ["s1_id", "cand_id"], "left_anti")
     sim = 100 * (1 - F.levenshtein("n_core", "n_core_c") / F.greatest(F.char_length("n_core"), F.char_length("n_core_c"), F.lit(1)))
     return features.attach(missed, v.s1, v.pool).withColumns({"name_tset": sim, "name_ratio": sim})
 
 
 SIDES = ", ".join(f"s.{c} AS {c}, p.{c} AS {c}_c" for c in ("n_core", "n_kind", "n_script", "n_alias", "a_house", "a_empty"))
-MISSED = f"{RBITS}, mi AS (SELECT t.s1_id, t.match_id AS cand_id, {SIDES}, 100 * (1 - levenshtein(s.n_core, p.n_core) / CAST(greatest(length(s.n_core), length(p.n_core), 1) AS DOUBLE)) AS name_sim FROM truth t JOIN s1 s ON s.entity_id = t.s1_id JOIN pool p ON p.entity_id = t.match_id WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.s1_id = t.s1_id AND c.cand_id = t.match_id))"
+MISSED = f"{RBITS}, mi AS (SELECT t.s1_id, t.match_id AS cand_id, {SIDES}, 100 * (1 - levenshtein(s.n_core, p.n_core) / CAST(greatest(length(s.n_core), length(p.n_core), 1) AS DOUBLE)) AS name_sim FROM truth t JOIN s1 s ON s.entity_id = t.s1_id JOIN pool p ON p.entity_id = t.match_id WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.s1_id = t.s1_id AND c.cand_id = t.match_id AND c.rbits & {ADDRESS_BITS} <> 0))"
 
 
 @query("m7_miss_audit", "bucket:s addr_state:s n:i", f"{WP}, {MISSED} SELECT bucket, addr_state, count(*) AS n FROM (SELECT {BUCKETS} FROM mi) GROUP BY ALL")
@@ -268,6 +275,41 @@ def m12(spark, d):
     return metrics.entity_scores(decision.threshold(decision.assign_best(preds), 0.5), v.truth.join(spine, "s1_id", "left_semi"), spine)
 
 
+SCENARIOS = f"""scen(scenario, rate, variant, thin) AS (VALUES {", ".join(f"('{n}', {r}, '{v}', {str(t).lower()})" for n, (r, v, t) in robust.SCENARIOS.items())}),
+wt AS (SELECT entity_id, twin, CASE WHEN shared THEN 2.0 ELSE 0.5 END AS w, {UNIT.format("entity_id")} AS u, {UNIT.format("entity_id").replace("orphan", "thin")} AS ut FROM tw),
+lf AS (SELECT c.scenario, s.entity_id AS s1_id, s.country, {key("s.n_core")} AS n_key FROM scen c CROSS JOIN wt JOIN s1 s ON s.entity_id = wt.entity_id
+ WHERE NOT (c.thin AND ut >= 0.8) AND NOT CASE c.variant WHEN 'uniform' THEN u < rate WHEN 'twin' THEN twin AND u < rate ELSE u < least(1.0, rate * w / (SELECT avg(w) FROM wt)) END),
+gr AS (SELECT c.scenario, p.entity_id FROM scen c CROSS JOIN pool p LEFT JOIN truth t ON t.match_id = p.entity_id LEFT JOIN wt ON wt.entity_id = t.s1_id WHERE c.thin AND CASE WHEN t.s1_id IS NULL THEN {UNIT.format("p.entity_id").replace("orphan", "thin")} >= 0.8 ELSE wt.ut >= 0.8 END),
+nk AS (SELECT scenario, country, n_key, count(*) AS c FROM lf GROUP BY ALL),
+pp AS (SELECT lf.scenario, p.s1_id, p.cand_id, round(p.prob * CASE WHEN nk.c > 1 THEN 0.9 ELSE 1.0 END, 6) AS prob FROM preds p JOIN pool o ON o.entity_id = p.cand_id JOIN lf ON lf.s1_id = p.s1_id LEFT JOIN nk ON nk.scenario = lf.scenario AND nk.country = o.country AND nk.n_key = {key("o.n_core")} WHERE NOT EXISTS (SELECT 1 FROM gr WHERE gr.scenario = lf.scenario AND gr.entity_id = p.cand_id)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY scenario, cand_id ORDER BY prob DESC, s1_id) AS r FROM pp),
+hh AS (SELECT rr.scenario, rr.s1_id, count(*) AS n_pred, count(t.match_id) AS tp FROM rr LEFT JOIN truth t ON t.s1_id = rr.s1_id AND t.match_id = rr.cand_id WHERE rr.r = 1 AND rr.prob >= 0.5 GROUP BY ALL),
+ss AS (SELECT lf.scenario, {f05_sql("coalesce(hh.tp, 0)", "n.n_true", "coalesce(hh.n_pred, 0)")} AS f05 FROM lf JOIN ntrue n ON n.s1_id = lf.s1_id LEFT JOIN hh ON hh.scenario = lf.scenario AND hh.s1_id = lf.s1_id),
+rec AS (SELECT c.scenario, (SELECT count(*) FROM pool) - (SELECT count(*) FROM gr WHERE gr.scenario = c.scenario) AS records FROM scen c)"""
+
+
+@query("m12_scenarios", "scenario:s n:i records:i macro_f05:d", f"{WP}, {TWIN}, {SCENARIOS} SELECT ss.scenario, count(*) AS n, any_value(rec.records) AS records, avg(f05) AS macro_f05 FROM ss JOIN rec ON rec.scenario = ss.scenario GROUP BY ss.scenario")
+def m12_scenarios(spark, d):
+    """All nine removals; a record's score falls where several surviving S1 have its name, which is counted again."""
+    v = Views(spark, d)
+    n_key = text.sorted_key("n_core")
+    base = v.preds.join(v.pool.select(F.col("entity_id").alias("cand_id"), "country", n_key.alias("n_key")), "cand_id").persist()
+    keep = v.spine.select("country", F.lit(0.8).alias("keep")).distinct()
+
+    def score(s1, pool, pairs):
+        names = s1.groupBy("country", n_key.alias("n_key")).agg(F.count("*").alias("c"))
+        return pairs.join(names, ["country", "n_key"], "left").select("s1_id", "cand_id", F.round(F.col("prob") * F.when(F.col("c") > 1, 0.9).otherwise(1.0), 6).alias("prob"))
+
+    out = []
+    for name, (rate, variant, thin) in robust.SCENARIOS.items():
+        s1, pool, preds = robust.scenario(v.s1, v.pool, v.truth, base, score, rate, variant, keep if thin else None)
+        spine = s1.select(F.col("entity_id").alias("s1_id"))
+        got = metrics.entity_scores(decision.threshold(decision.assign_best(preds), 0.5), v.truth.join(spine, "s1_id", "left_semi"), spine)
+        size = pool.agg(F.count("*").alias("records"))
+        out.append(got.agg(F.count("*").alias("n"), F.avg("f05").alias("macro_f05")).crossJoin(size).withColumn("scenario", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("n8_token_map", "src:s dst:s n:i precision:d", f"""{WP}, z AS (SELECT {tok('n_core_c')} AS a, {tok('n_core')} AS b FROM pairs), u AS (SELECT unnest(a) AS src, unnest(b) AS dst FROM z WHERE len(a) = len(b)), c AS (SELECT src, dst, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM c)
 SELECT src, dst, n, n / CAST(total AS DOUBLE) AS "precision" FROM r WHERE r = 1 AND n >= 2 AND n / CAST(total AS DOUBLE) >= 0.3 AND src <> dst""")
 def n8(spark, d):
