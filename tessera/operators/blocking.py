@@ -129,8 +129,12 @@ def augment(pairs: DataFrame, extra: DataFrame, bit: int) -> DataFrame:
     return both.withColumn("rbits", F.coalesce("rbits", F.lit(0)).bitwiseOR(F.coalesce("_bit", F.lit(0)))).drop("_bit")
 
 
+def key_parts(s1: DataFrame, pool: DataFrame, keyed: DataFrame) -> dict[str, DataFrame]:
+    """Pairs of each exact-key retriever; keyed are those of keys_v0."""
+    return {"keys_v0": keyed, "akey": akey(s1, pool), "hskey": hskey(s1, pool), "skel": skel(s1, pool), "nkey_empty": nkey_empty(s1, pool), "nkey_num": nkey_num(s1, pool)}
+
+
 def candidates(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """All exact-key retrievers over all countries in one plan."""
     keyed = keys_v0(s1, pool)
-    parts = {"keys_v0": keyed, "akey": akey(s1, pool), "hskey": hskey(s1, pool), "skel": skel(s1, pool), "nkey_empty": nkey_empty(s1, pool), "nkey_num": nkey_num(s1, pool)}
-    return with_key_mask(union(parts), keyed)
+    return with_key_mask(union(key_parts(s1, pool, keyed)), keyed)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import context, features, tfidf
+from tessera.operators import context, features, retrieval, tfidf
 from tessera.plans.registry import query
-from tessera.plans.views import PAIRS, RECORDS, Views, key, tok
+from tessera.plans.views import BASE, PAIRS, RECORDS, Views, key, tok
 
 W = f"WITH {RECORDS}"
 WP = f"WITH {PAIRS}"
@@ -77,6 +77,28 @@ def e14(spark, d):
     return tfidf.row_dot(v.candidates, q, p)
 
 
+def _best(name: str, dots: str, k: int, bit: int) -> str:
+    """A common table expression of a weighted-term retriever: the k best of each query."""
+    return f"{name} AS (SELECT q AS s1_id, p AS cand_id, {bit} AS bit FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS r FROM ({dots}) WHERE s > 0) WHERE r <= {k})"
+
+
+NOWHERE = "SELECT a.id AS q, b.id AS p, round(sum(a.w * b.w), 6) AS s FROM vec a JOIN vec b ON b.country = a.country AND b.view = a.view AND b.term = a.term JOIN pool e ON e.entity_id = b.id AND e.a_empty WHERE a.view = 'name' AND a.source = 1 GROUP BY ALL"
+#: Every retriever at its published size, cosines and the cap; max_df is that of TERMS, as one percent of a few hundred records leaves no terms.
+RETRIEVED = f"""{BASE}, {TERMS}, {_best("r_na", TOP.format(q="a.id", p="b.id"), 30, 4)}, {_best("r_empty", NOWHERE, 50, 32)},
+every AS MATERIALIZED (SELECT s1_id, cand_id, bit_or(bit) AS rbits FROM (SELECT s1_id, cand_id, rbits AS bit FROM base UNION ALL SELECT * FROM r_na UNION ALL SELECT * FROM r_empty) GROUP BY ALL),
+c_name AS (SELECT e.s1_id, e.cand_id, round(sum(a.w * b.w), 6) AS c FROM every e JOIN vec a ON a.id = e.s1_id AND a.view = 'name' JOIN vec b ON b.id = e.cand_id AND b.view = 'name' AND b.term = a.term GROUP BY ALL),
+c_na AS (SELECT e.s1_id, e.cand_id, round(sum(a.w * b.w), 6) AS c FROM every e JOIN both_ a ON a.id = e.s1_id JOIN both_ b ON b.id = e.cand_id AND b.view = a.view AND b.term = a.term GROUP BY ALL),
+cosines AS (SELECT e.s1_id, e.cand_id, e.rbits, coalesce(m.kmask, 0) AS kmask, coalesce(x.c, 0) AS cos_name, coalesce(y.c, 0) AS cos_na, CASE WHEN s.a_empty OR p.a_empty THEN coalesce(x.c, 0) ELSE coalesce(y.c, 0) END AS score
+ FROM every e JOIN s1 s ON s.entity_id = e.s1_id JOIN pool p ON p.entity_id = e.cand_id LEFT JOIN b_keys m ON m.s1_id = e.s1_id AND m.cand_id = e.cand_id LEFT JOIN c_name x ON x.s1_id = e.s1_id AND x.cand_id = e.cand_id LEFT JOIN c_na y ON y.s1_id = e.s1_id AND y.cand_id = e.cand_id)"""
+
+
+@query("e18_run_country", "s1_id:s cand_id:s rbits:i kmask:i cos_name:d cos_na:d score:d", f"{W}, {RETRIEVED} SELECT s1_id, cand_id, rbits, kmask, cos_name, cos_na, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rbits = 512, score DESC, cand_id) AS r FROM cosines) WHERE r <= 100 OR rbits & 512 <> 0")
+def e18_run_country(spark, d):
+    """Every retriever, cosines, cap of 100 and name-and-number pairs outside the cap."""
+    v = Views(spark, d)
+    return retrieval.retrieve(v.s1, v.pool, retrieval.Limits(max_df_name=VIEWS["name"][2], max_df_addr=VIEWS["addr"][2]))
+
+
 SUB = "(length(a_house) = length(a_house_c) AND len(list_filter(range(1, length(a_house) + 1), lambda i: substr(a_house, i, 1) <> substr(a_house_c, i, 1))) = 1)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity
 from tessera.functions.text import house_street_key, jaccard, name_number_keys, skeleton, sorted_key, tokens
-from tessera.operators import blocking, context, decision, features, metrics, models, robust, tfidf
+from tessera.operators import blocking, context, decision, evaluation, features, metrics, models, retrieval, robust, tfidf
 from tessera.sources import sinks, tables
 
 
@@ -43,6 +43,12 @@ def test_cap_breaks_ties_by_id(spark):
     assert sorted(r.cand_id for r in blocking.cap_per_query(df, "score", 2).collect()) == ["a", "b"]
 
 
+def test_name_and_number_pairs_stand_outside_the_cap(spark):
+    rows = [("s", "a", 1, 0.9), ("s", "b", 512, 0.8), ("s", "c", 1, 0.7), ("s", "d", 1, 0.7), ("s", "e", 513, 0.1), ("t", "a", 512, 0.0)]
+    df = spark.createDataFrame(rows, "s1_id string, cand_id string, rbits int, score double")
+    assert sorted(values(retrieval.cap_outside(df, 512, 2), "s1_id", "cand_id")) == [("s", "a"), ("s", "b"), ("s", "c"), ("s", "e"), ("t", "a")]
+
+
 def test_tfidf_equals_dense(spark):
     texts = {"S1-1": "acme blue works", "S1-2": "red fox inn", "S2-1": "acme blue wrks", "S3-1": "red fox", "S2-2": "zebra"}
     df = spark.createDataFrame([(i, "x", t) for i, t in texts.items()], "entity_id string, country string, n_core string")
@@ -279,3 +285,22 @@ def test_rules_compared(spark, truth, spine):
 def test_expected_f05_keeps_the_best(spark):
     p = np.linspace(0.99, 0.01, 60)
     assert len(decision.expected_f05(p)) == 31 and decision.expected_f05(p)[5] == decision.expected_f05(p[:30])[5]
+
+
+def test_thinning_takes_records_along(spark):
+    s1 = spark.createDataFrame([(f"S1-{k}", "US" if k % 2 else "FR") for k in range(200)], "entity_id string, country string")
+    pool = spark.createDataFrame([(f"S2-{k}", "US" if k % 2 else "FR") for k in range(300)], "entity_id string, country string")
+    truth = spark.createDataFrame([(f"S1-{k}", f"S2-{k}") for k in range(200)], "s1_id string, match_id string")
+    gone, records_ = robust.thinned(s1, pool, truth, spark.createDataFrame([("US", 0.5)], "country string, keep double"))
+    gone, records_ = {r.entity_id for r in gone.collect()}, {r.entity_id for r in records_.collect()}
+    assert 30 < len(gone) < 70 and all(int(i[3:]) % 2 for i in gone | records_)
+    assert {i for i in records_ if int(i[3:]) < 200} == {"S2-" + i[3:] for i in gone} and any(int(i[3:]) >= 200 for i in records_)
+
+
+def test_templated_streets_by_country(spark):
+    s1 = spark.createDataFrame([(f"{c}{k}", c, f"road {w}") for c, word in (("x", "alpha"), ("y", "beta")) for k, w in enumerate([word] + [f"w{c}{k}" for k in range(9)])], "entity_id string, country string, a_street string")
+    rows = [("x0", "p", "x", "road alpha", "road gamma"), ("x0", "q", "x", "road alpha", "alpha road 12"), ("x0", "r", "x", "road alpha", "road 7"), ("y0", "s", "y", "road beta", "kilo road")]
+    pairs = spark.createDataFrame(rows, "s1_id string, cand_id string, country string, a_street string, a_street_c string")
+    assert sorted(values(evaluation.templated_streets(pairs, s1, 0.2), "s1_id", "cand_id")) == [("x0", "p"), ("y0", "s")]
+    more = s1.union(spark.createDataFrame([(f"x{k}", "x", "gamma") for k in range(20, 30)], "entity_id string, country string, a_street string"))
+    assert values(evaluation.templated_streets(pairs, more, 0.2), "s1_id", "cand_id") == [("y0", "s")]

@@ -8,6 +8,8 @@ from tests.oracle import connect, differ
 
 #: Without rows on the smallest tables alone.
 MAY_BE_EMPTY = {"n8_token_map"}
+#: With a dozen S1 a country, every word stands in more than the query's share of them.
+LARGER = {"m15_templated_streets": "/root/testdata/sf0.01"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def test_query_equals_sql(spark, con, sf, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
 def test_query_runs(spark, sf, name):
+    sf = LARGER.get(name, sf)
     df = QUERIES[name](spark, sf)
     assert df.schema == QUERIES[name](spark, sf).schema
     assert df.count() > 0
