@@ -97,7 +97,7 @@ def fill(rows: DataFrame, group: str, order: list, size: str, passes: int) -> Da
     return rows.drop("_sum", "_now")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_docs: int = 64, max_sources: int = 100_000, passes: int = 4, seed: int = 23) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, shards: int = 16, block_docs: int = 64, max_sources: int = 100_000, sent_blocks: int = 100_000, passes: int = 4, seed: int = 23) -> DataFrame:
     """The mix of docs (doc_id, text, source): a row for each document.
 
     Columns: doc_id, size (words), source, source_size, target, taken (words taken, repeats counted), copies (whole
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     `block_docs` documents, or of the root of their number where that is more, so that neither a source's blocks nor the
     documents of one block are ever more than one task's. Where a source's target is r times its size, all its blocks are taken floor(r) times and a permuted prefix of them once
     more, and the next three blocks are resolved by document. The taken blocks are split among the shards by
-    split_quotas, dealt disjointly in permuted order, and shuffled locally by `place`.
+    split_quotas, dealt disjointly in permuted order, and shuffled locally by `place`. Up to `sent_blocks` blocks (some
+    25 MB) go to the documents, which then stay where they are; beyond, documents go to their blocks.
 
     Null text: size 0, never more than floor(r) copies of nothing. Repeated rows stay together (same block, each
     counted). An empty table gives no rows. Everything is a hash of seed and content: reruns agree.
@@ -146,7 +147,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     items = items.join(bounds, "sid").withColumn("shard", F.expr("size(filter(ends, e -> e <= number))"))
     dealt = items.groupBy("sid", "block").agg(F.max("part").alias("part"), F.max("within").alias("within"), F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("items"))
 
-    out = rows.join(dealt.select("sid", "block", "part", "within", "items"), ["sid", "block"], "left")
+    few = sum(blocks for *_, blocks in plan) <= sent_blocks
+    out = rows.join(F.broadcast(dealt) if few else dealt, ["sid", "block"], "left")
 
     # a few blocks of each source are taken in part: in permuted order, what still fits is taken
     cut = fill(out.where("part = 1").withColumn("left", F.col("within")), "sid", [F.xxhash64("h", F.lit("cut")), F.col("h"), F.col("doc_id")], "size", passes)

@@ -357,6 +357,8 @@ def test_mixing(docs, rows, none):
     for s, (_, taken, target) in by.items():
         assert abs(taken - target) <= max(0.05 * target, 30), s
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(docs, shards=4, block_docs=4).collect())
+    key = lambda r: (str(r.doc_id), str(r.source), r.size, r.taken, r.copies, r.place)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(docs, shards=4, block_docs=4, sent_blocks=0).collect()))
     copies = mixing.mixed_rows(docs, shards=4, block_docs=4)
     assert copies.columns == [*docs.columns, "mix_shard", "mix_place"] and copies.count() > 0
     assert mixing.mix(none).count() == 0
