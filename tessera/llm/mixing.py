@@ -126,9 +126,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
         whole = min(int(ratio + 1e-12), int(most))
         plan.append((k, r.source, r.source_size, wanted[k], whole, wanted[k] - whole * r.source_size, max(1, -(-r.docs // max(block_docs, math.isqrt(r.docs))))))
     plan_schema = "sid int, source string, source_size long, target double, whole int, rest double, blocks int"
-    by_source = spark.createDataFrame(plan, plan_schema)
+    by_source = spark.createDataFrame(plan, plan_schema)  # max_sources rows at most: it goes to the rows, hot sources stay where they are
 
-    rows = rows.withColumnRenamed("source", "s").join(by_source, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    rows = rows.withColumnRenamed("source", "s").join(F.broadcast(by_source), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
     order = F.xxhash64(F.lit(seed), "sid", "block", F.lit("extra"))
     blocks = rows.groupBy("sid", "block", "whole", "rest").agg(F.sum("size").alias("words"))
