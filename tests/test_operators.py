@@ -235,6 +235,28 @@ def test_sinks(spark, spine, tmp_path):
     assert [r.name for r in sinks.leaderboard(spark, f"{tmp_path}/runs").collect()] == ["r0.7", "r0.5"]
 
 
+def test_grouped_and_tagged_files(spark, tmp_path):
+    rows = [(f"S1-{k % 7}", f"S2-{k}", "us" if k % 3 else "fr") for k in range(70)]
+    df = spark.createDataFrame(rows, "s1_id string, cand_id string, tag string").repartition(5)
+    sinks.write_grouped(df, f"{tmp_path}/grouped")
+    back = spark.read.parquet(f"{tmp_path}/grouped").withColumn("file", F.input_file_name())
+    assert sorted(values(back, "s1_id", "cand_id", "tag")) == sorted(rows)
+    assert {r.n for r in back.groupBy("s1_id").agg(F.countDistinct("file").alias("n")).collect()} == {1}
+    sinks.write_by_tag(df, f"{tmp_path}/tagged")
+    assert {p.name for p in (tmp_path / "tagged").iterdir() if p.is_dir()} == {"tag=fr", "tag=us"}
+    assert sorted(values(spark.read.parquet(f"{tmp_path}/tagged/tag=fr"), "s1_id", "cand_id")) == sorted(r[:2] for r in rows if r[2] == "fr")
+
+
+def test_source_predicate_and_columns_reach_the_scan(spark, tmp_path):
+    rows = [("S1-1", "US", "a"), ("S1-2", "FR", "b"), ("S1-3", None, "c")]
+    spark.createDataFrame(rows, "entity_id string, country string, n_core string").write.parquet(f"{tmp_path}/s1")
+    df = tables.read_source(spark, f"{tmp_path}/s1", ["US", "DE"], ["entity_id", "country"])
+    assert values(df) == [("S1-1", "US")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "In(country, [DE,US])" in plan.replace("[US,DE]", "[DE,US]") and "n_core" not in plan
+    assert tables.read_source(spark, f"{tmp_path}/s1").count() == 3 and tables.read_source(spark, f"{tmp_path}/s1", []).count() == 0
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"a ""b"""\t\tUS\nS1-2\tNA\tx\t\n')
     rows = tables.read_tsv(spark, f"{tmp_path}/s.tsv", tables.RAW).collect()
