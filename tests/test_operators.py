@@ -3,7 +3,9 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,17 @@ def test_similarities():
         assert similarity.lcs(a, b) == t[-1, -1]
 
 
+def test_jaro_winkler_equals_sql():
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("abc e"), n))
+    pairs = [("", ""), ("", "a"), ("a", ""), ("a", "a"), *[(word(a), word(b)) for a, b in rng.integers(0, 90, (3000, 2))], *[("abc" + word(a), "abc" + word(b)) for a, b in rng.integers(0, 30, (3000, 2))]]
+    con = duckdb.connect()
+    con.register("p", pd.DataFrame(pairs, columns=["a", "b"]))
+    want = con.execute("SELECT a, b, jaro_winkler_similarity(a, b) FROM p").fetchall()
+    assert [x for x in want if similarity.jaro_winkler_sql(*x[:2]) != x[2]] == []
+    assert similarity.jaro_winkler("", "") == 1.0
+
+
 def test_house_codes(spark):
     cases = [("", "", 8), ("1", "", 7), ("12", "12", 0), ("08", "8", 3), ("112", "12", 1), ("12", "125", 2), ("128", "148", 4), ("98", "104", 5), ("10", "999", 6), ("1a", "2b", 5), ("12a", "15", 5), ("a", "b", 4), ("ab", "cd", 6), ("1a", "", 7), ("123456789", "123456780x", 6)]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a_house string, a_house_c string").select(features.house_rel().alias("r"))

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tessera.catalog import QUERIES
+from tessera.catalog import ORACLE_SQL, QUERIES
+from tests.oracle import canon, connect
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("rn", "lt", "mp", "st")]
 
@@ -33,3 +34,14 @@ def test_every_country_is_left_out_once(spark, copies):
     got = QUERIES["m13_loco"](spark, copies).collect()
     assert {(r.trained_on, r.tested_on) for r in got} == {(a, b) for a in ("en", "it", "pt") for b in ("en", "it", "pt")} and len(got) == 9
     assert all(r.f_target is None and r.t_source is None for r in got if r.trained_on == "pt")
+
+
+def test_twins_without_addresses_equal_sql(spark, tmp_path):
+    """Names of five words leave no address: both sides of a comparison are empty strings."""
+    texts = {0: "gorn balt dimp fest kurn", 1: "gorn balt dimp fest kurn some words of an address here", 2: "kurn balt dimp fest gorn"}
+    rows = [(k, texts[k // 3 % 3], "en", "web", 7) for k in range(36)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect("/nowhere")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = QUERIES["i6_twins"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["i6_twins"]).df()
+    assert canon(got) == canon(want) and (want.twin_n > 0).any()
