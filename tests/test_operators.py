@@ -111,6 +111,18 @@ def test_top_k_over_blocks_equals_brute_force(spark, small_blocks, k, threshold)
     assert joins_by_term(found) == []  # pairs that share a term are never rows
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_reverse_top_k_over_blocks_equals_brute_force(spark, small_blocks, k):
+    q, p, queries, pool = crowded(spark, 7)
+    found, want = tfidf.reverse_top_k(queries, pool, k), set()
+    dots = brute_dots(q, p)
+    for b in {x for _, x in dots}:
+        best = sorted((-round(s, 6), a) for (a, x), s in dots.items() if x == b)
+        want |= {(a, b, -s) for s, a in best[:k]}
+    assert set(values(found, "s1_id", "cand_id", "s")) == want
+    assert joins_by_term(found) == []
+
+
 def test_similarities():
     assert similarity.ratio("abcd", "abxd") == 75.0 and similarity.ratio("", "") == 100.0
     assert similarity.token_set_ratio("acme works", "acme works north") == 100.0 and similarity.token_set_ratio("acme", "zebra inn") < 50
