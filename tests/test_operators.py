@@ -141,6 +141,29 @@ def test_reverse_top_k_over_blocks_equals_brute_force(spark, small_blocks, k):
     assert joins_by_term(found) == []
 
 
+def shuffled(spark, run):
+    """Rows that run() writes to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = max(stages(), default=(-1, 0))
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_reverse_top_k_shuffles_records_not_the_pairs_that_share_a_term(spark):
+    """The disk of a search grows with its records: 180,000 pairs share the term."""
+    side = lambda name, n: spark.createDataFrame([(f"{name}-{i:03d}", "en", "name", "t", 1.0 + i % 2) for i in range(n)], "id string, country string, view string, term string, w double")
+    s1, pool, found = side("S1", 300), side("S2", 600), []
+    rows = shuffled(spark, lambda: found.extend(values(tfidf.reverse_top_k(s1, pool, 3), "s1_id", "cand_id", "s")))
+    assert sorted(found) == sorted((f"S1-{a:03d}", f"S2-{b:03d}", 2.0 * (1 + b % 2)) for a in (1, 3, 5) for b in range(600))
+    assert 900 <= rows < 20 * 900
+
+
 def test_similarities():
     assert similarity.ratio("abcd", "abxd") == 75.0 and similarity.ratio("", "") == 100.0
     assert similarity.token_set_ratio("acme works", "acme works north") == 100.0 and similarity.token_set_ratio("acme", "zebra inn") < 50
